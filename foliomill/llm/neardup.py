@@ -9,7 +9,6 @@ by a star contraction whose rounds are checkpointed.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ SMALL_BUCKET = 24
 BROADCAST_ROWS = 500_000
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
     """Mark df for broadcast if it is counted to be small; else leave the join to be shuffled."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -31,7 +30,7 @@ def fetched(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFram
     """Pairs (a, b) with the compressed texts of both; only texts that a pair needs leave the scan."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     own = texts.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    packed = packed_texts(own.join(bounded(wanted), "key", "left_semi"), "key", "text")
+    packed = cut(packed_texts(own.join(bounded(wanted), "key", "left_semi"), "key", "text"))
     left = packed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a"))
     right = packed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -43,16 +42,17 @@ def bucket_pairs(keys: DataFrame, similarity) -> DataFrame:
     Pairs in small buckets come out as they are. A large bucket, of many near copies, is not expanded: see hot_pairs.
     No pair of texts that could be linked otherwise than through links found here is lost."""
     w = Window.partitionBy("bucket")
-    counted = keys.withColumn("n", F.count("*").over(w)).filter("n > 1").persist(StorageLevel.MEMORY_AND_DISK)
-    ahead = Window.partitionBy("bucket").orderBy("key").rowsBetween(1, SMALL_BUCKET)
-    small = (
-        counted.filter(F.col("n") <= SMALL_BUCKET)
-        .select(F.col("key").alias("a"), F.collect_list("key").over(ahead).alias("bs"))
-        .select("a", F.explode("bs").alias("b"))
-        .distinct()
-    )
-    large = counted.filter(F.col("n") > SMALL_BUCKET).select("bucket", "key")
-    return small if large.isEmpty() else small.unionByName(hot_pairs(large, similarity)).distinct()
+    ahead = w.orderBy("key").rowsBetween(1, SMALL_BUCKET)
+    counted = keys.withColumn("n", F.count("*").over(w)).filter("n > 1")
+    followers = counted.withColumn("bs", F.collect_list("key").over(ahead))
+    # One pass: pairs of small buckets, and the rows of large ones with no partner.
+    small = F.col("n") <= SMALL_BUCKET
+    rows = followers.select("bucket", "key", "n", F.explode(F.when(small, F.col("bs")).otherwise(F.array(F.lit(None).cast("long")))).alias("b"))
+    rows = rows.select(F.col("key").alias("a"), "b", F.when(~small, F.col("bucket")).alias("bucket")).distinct()
+    rows = cut(rows)
+    pairs = rows.filter("bucket is null").select("a", "b")
+    large = rows.filter("bucket is not null").select("bucket", F.col("a").alias("key"))
+    return pairs if large.isEmpty() else pairs.unionByName(hot_pairs(large, similarity)).distinct()
 
 
 def hot_pairs(rows: DataFrame, similarity) -> DataFrame:
@@ -92,17 +92,19 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars; each pair of rounds is checkpointed and pre-aggregates before its shuffle, and
     no vertex gathers its neighbours into one row."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        new = cut(small)
-        # Done when the edges are stars: every root is never a member, every member has one root.
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            return new.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root")).unionByName(new.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
-        edges = new
+        edges = cut(small)
+        # A fixed point is a set of stars. Equal counts and sums of hashes stand for equal edges.
+        new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if new == mark:
+            return edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+        mark = new
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, pieces: str = "words", width: int = 5, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +119,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     copies) are collapsed first, so a group of copies of any size costs one row a copy. An empty table gives no rows.
     rounds: covering codes; a pair at similarity s is found with chance 1 - (1 - P)^rounds, P the chance that at most
     2 of 7 slots differ (0.42 at 0.6, 0.65 at 0.7, 0.85 at 0.8)."""
-    sk = sketches(df, key, text, pieces, width, rounds * SLOTS).persist(StorageLevel.MEMORY_AND_DISK)
+    sk = cut(sketches(df, key, text, pieces, width, rounds * SLOTS))
     heads = sk.groupBy("digest").agg(F.min_by(F.struct("key", "slots", "bits"), "key").alias("h"), F.count("*").alias("copies"))
-    heads = heads.select("digest", "copies", "h.*").persist(StorageLevel.MEMORY_AND_DISK)
+    heads = cut(heads.select("digest", "copies", "h.*"))
 
     def similarity(pairs: DataFrame) -> tuple[DataFrame, float]:
         return verified(fetched(pairs, df, key, text), pieces, width), 1 - threshold

@@ -27,6 +27,31 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return members.withColumnRenamed("key", "record_id")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .history import batch_duplicates
+
+    kb, new = table(spark, sf, "kb_document"), table(spark, sf, "incoming_document")
+    return batch_duplicates(kb, new, "record_id", "page_content", "batch_no", 0.6, "chars", 5).select("record_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .houselines import repeated_lines
+
+    return repeated_lines(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3)
+
+
+def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    from .houselines import frequent_sequences
+
+    return frequent_sequences(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3, 3)
+
+
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    from .houselines import without_repeated_lines
+
+    return without_repeated_lines(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3)
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .chop import split_oversized
 
@@ -49,6 +74,26 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return p8_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from .mixing import mixed, public_ranks
+
+    return mixed(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_target"), *public_ranks())
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    from .perplexity import perplexity_bands
+
+    return perplexity_bands(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def p10_share(spark: SparkSession, sf: str) -> DataFrame:
     from .repeats import repeated_share
 
