@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,22 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, ends the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it back: survives lost executors, ends lineage and plan,
+    and tells the planner the true size. The tables go with the session (release) or with its checkpoint folder."""
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    _CUTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CUTS: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables of all cuts so far; nothing that reads them may be pending."""
+    while _CUTS:
+        drop_path(spark, _CUTS.pop())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -53,5 +67,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python workers import it by name."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="foliomill-"), "foliomill_package.zip")  # the driver serves it from here
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("foliomill", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The Parquet table of a folder; the package is made known to the executors first."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
