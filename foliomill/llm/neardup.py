@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sketch import SLOTS, covering_keys, packed_texts, plausible, sketches, verified
+from .sketch import SLOTS, covering_keys, finer_keys, packed_texts, plausible, sketches, verified
 
 # Buckets up to this many texts give all their pairs; larger ones are resolved around centres (hot_pairs).
 SMALL_BUCKET = 24
+# The same for a large bucket's parts.
+DIVIDED_BUCKET = 64
 # Most ids that are broadcast (8 bytes each, with their hash table about 32 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -36,23 +38,30 @@ def fetched(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFram
     return pairs.select("a", "b").join(left, "a").join(right, "b")
 
 
-def bucket_pairs(keys: DataFrame, similarity) -> DataFrame:
-    """Candidate pairs (a < b) of the rows (bucket, key).
-
-    Pairs in small buckets come out as they are. A large bucket, of many near copies, is not expanded: see hot_pairs.
-    No pair of texts that could be linked otherwise than through links found here is lost."""
+def expanded(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large): all pairs (a < b) of the buckets of up to `most` rows (bucket, key), and the rows of the larger ones."""
     w = Window.partitionBy("bucket")
-    ahead = w.orderBy("key").rowsBetween(1, SMALL_BUCKET)
+    ahead = w.orderBy("key").rowsBetween(1, most)
     counted = keys.withColumn("n", F.count("*").over(w)).filter("n > 1")
     followers = counted.withColumn("bs", F.collect_list("key").over(ahead))
     # One pass: pairs of small buckets, and the rows of large ones with no partner.
-    small = F.col("n") <= SMALL_BUCKET
+    small = F.col("n") <= most
     rows = followers.select("bucket", "key", "n", F.explode(F.when(small, F.col("bs")).otherwise(F.array(F.lit(None).cast("long")))).alias("b"))
-    rows = rows.select(F.col("key").alias("a"), "b", F.when(~small, F.col("bucket")).alias("bucket")).distinct()
-    rows = cut(rows)
-    pairs = rows.filter("bucket is null").select("a", "b")
-    large = rows.filter("bucket is not null").select("bucket", F.col("a").alias("key"))
-    return pairs if large.isEmpty() else pairs.unionByName(hot_pairs(large, similarity)).distinct()
+    rows = cut(rows.select(F.col("key").alias("a"), "b", F.when(~small, F.col("bucket")).alias("bucket")).distinct())
+    return rows.filter("bucket is null").select("a", "b"), rows.filter("bucket is not null").select("bucket", F.col("a").alias("key"))
+
+
+def bucket_pairs(heads: DataFrame, rounds: int, similarity) -> DataFrame:
+    """Candidate pairs (a < b) of heads (key, slots).
+
+    Pairs in small buckets come out as they are. A large bucket, of texts that share some common phrases or of many near
+    copies, is divided by the keys of the other rounds; what stays large then is near copies, see hot_pairs."""
+    pairs, large = expanded(covering_keys(heads, rounds), SMALL_BUCKET)
+    if large.isEmpty():
+        return pairs
+    more, hot = expanded(finer_keys(large.join(heads.select("key", "slots"), "key"), rounds), DIVIDED_BUCKET)
+    pairs = pairs.unionByName(more)
+    return (pairs if hot.isEmpty() else pairs.unionByName(hot_pairs(hot, similarity))).distinct()
 
 
 def hot_pairs(rows: DataFrame, similarity) -> DataFrame:
@@ -77,11 +86,8 @@ def hot_pairs(rows: DataFrame, similarity) -> DataFrame:
         rest = far.select("bucket", F.col("b").alias("key")).unionByName(close.select("bucket", F.col("b").alias("key")))
         # Only buckets with a member beyond the threshold go on.
         rest = cut(rest.join(reach.select("bucket"), "bucket", "left_semi"))
-        n = rest.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-        ahead = Window.partitionBy("bucket").orderBy("key").rowsBetween(1, SMALL_BUCKET)
-        small = n.filter(f"n <= {SMALL_BUCKET}").select(F.col("key").alias("a"), F.collect_list("key").over(ahead).alias("bs")).select("a", F.explode("bs").alias("b"))
+        small, rows = expanded(rest, DIVIDED_BUCKET)
         out = cut(out.unionByName(small).distinct())
-        rows = n.filter(f"n > {SMALL_BUCKET}").select("bucket", "key")
         if rows.isEmpty():
             return out
 
@@ -126,7 +132,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     def similarity(pairs: DataFrame) -> tuple[DataFrame, float]:
         return verified(fetched(pairs, df, key, text), pieces, width), 1 - threshold
 
-    pairs = bucket_pairs(covering_keys(heads, rounds), similarity)
+    pairs = bucket_pairs(heads, rounds, similarity)
     bits = heads.select("key", "bits")
     weighed = pairs.join(bits.withColumnsRenamed({"key": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"key": "b", "bits": "bits_b"}), "b")
     candidates = cut(plausible(weighed, threshold))
