@@ -52,6 +52,18 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .truncation import truncated
+
+    return truncated(table(spark, sf, "case_row"), "seq", ["step", "expected"], "source").select("seq", "field")
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    from .truncation import truncation_report
+
+    return truncation_report(table(spark, sf, "case_row"), "seq", ["step", "expected"], "source")
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .chop import split_oversized
 
