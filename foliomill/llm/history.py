@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_path, scratch
+from ..session import cut, cuts_held, drop_path, release, scratch
 from .kernel import U
 from .neardup import bounded
 from .sketch import MASKS, SLOTS, plausible, sketches, verified
@@ -96,7 +96,7 @@ class History:
         are accepted, linked or not. Keys are unique longs, over all batches. Null and empty texts and texts
         without a piece are never linked and leave no trace. A name makes a retry of a committed batch a no-op (None).
         compare=False only loads (the first filling of a history)."""
-        runs = self.runs()
+        runs, held = self.runs(), cuts_held()
         if name is not None and name in runs["batches"]:
             return None
         number = len(self._manifests())
@@ -114,6 +114,7 @@ class History:
         self._sorted(keys).write.option("compression", "zstd").parquet(new_keys)
         if compare:
             linked = cut(self._linked(mine, old, heads, seen, runs["keys"], new_keys))
+            release(self.spark, since=held, keep=1)  # all but the result
         self._commit({"keys": [*runs["keys"], new_keys], "records": [*runs["records"], new_records], "batches": [*runs["batches"], *([name] if name is not None else [])]})
         if len(runs["keys"]) >= MOST_RUNS:
             self.compact()

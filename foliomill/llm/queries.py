@@ -64,6 +64,18 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return truncation_report(table(spark, sf, "case_row"), "seq", ["step", "expected"], "source")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .scans import scan_noise
+
+    return scan_noise(table(spark, sf, "kb_document"), "record_id", "page_content", "source")
+
+
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    from .scans import repaired
+
+    return repaired(table(spark, sf, "kb_document"), "record_id", "page_content", "source")
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .chop import split_oversized
 
