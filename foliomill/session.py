@@ -54,10 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
 _CUTS: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables of all cuts so far; nothing that reads them may be pending."""
-    while _CUTS:
-        drop_path(spark, _CUTS.pop())
+def cuts_held() -> int:
+    """How many tables of cuts exist by now."""
+    return len(_CUTS)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables of the cuts after the first `since`, but for the last `keep`; nothing that reads them may be pending."""
+    gone = _CUTS[since : len(_CUTS) - keep]
+    del _CUTS[since : since + len(gone)]
+    for path in gone:
+        drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
