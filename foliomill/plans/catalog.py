@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "p4_found"
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.incremental import file_changes
+    from ..session import table
+
+    return file_changes(table(spark, sf, "file_scan"), table(spark, sf, "file_state"), table(spark, sf, "build_run"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
