@@ -17,7 +17,8 @@ def name_version_tag(source: Column, version: Column) -> Column:
 
 
 def title_tags(title: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, TITLE_WORDS)), lambda w: F.contains(title, w))
+    """The title words a title contains; null without a title."""
+    return F.when(title.isNotNull(), F.filter(F.array(*map(F.lit, TITLE_WORDS)), lambda w: F.contains(title, w)))
 
 
 def intro_tags(text: Column, most: int = 3) -> Column:
@@ -70,7 +71,8 @@ def test_points(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """table.field references, sorted, at most 20 a text; the field isn't one of a few common words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(ENTITY_PATTERN), F.lit(0))
+    # Only a run's first letter can start a match, so long runs are looked at once.
+    found = F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z_][0-9]{0,50})" + ENTITY_PATTERN), F.lit(0))
     return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda x: ~F.split(x, r"\.")[1].isin(*ENTITY_STOP)))), 1, 20)
 
 

@@ -23,6 +23,10 @@ def corpus_stats(df: DataFrame, text: str, tokenizer: Tokenizer = tokenize) -> t
     return terms, sizes.crossJoin(mean)
 
 
+def occurrences(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == F.lit(word)))
+
+
 def bm25(df: DataFrame, key: str, text: str, query: list[str], tokenizer: Tokenizer = tokenize, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(key, bm25) of the rows with a positive score. Repeated query tokens count each time; a negative idf becomes epsilon times
     the mean idf. Rows are scored where they are: the query's few terms are what travels."""
@@ -35,7 +39,7 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], tokenizer: Tokeni
     asked = terms.filter(F.col("term").isin(words)).agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"))
     one = corpus.crossJoin(asked)
     docs = df.filter(F.col(text).isNotNull()).select(key, tokenizer(F.col(text)).alias("t"))
-    docs = docs.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{k}") for k, w in enumerate(words)])
+    docs = docs.select(key, F.size("t").alias("dl"), *[occurrences("t", w).alias(f"tf{k}") for k, w in enumerate(words)])
     docs = docs.filter(" or ".join(f"tf{k} > 0" for k in range(len(words)))).crossJoin(F.broadcast(one))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
     score = F.lit(0.0)
@@ -147,11 +151,13 @@ def conversation(df: DataFrame, conv: str, turn: str, role: str, content: str, m
     """(conv, history): a line a message in order of turn; every role but 'user' is labelled assistant, null contents are left out.
 
     Of repeated turns with equal content one is kept. most: only the last so many turns."""
-    own = df.filter(F.col(content).isNotNull()).select(conv, turn, F.when(F.lower(F.trim(role)) == "user", "user").otherwise("assistant").alias("r"), F.col(content).alias("c")).distinct()
+    said = F.when(F.lower(F.trim(role)) == "user", "user").otherwise("assistant")
+    own = df.filter(F.col(content).isNotNull()).select(F.col(conv).alias("__conv"), F.col(turn).alias("__turn"), said.alias("__role"), F.col(content).alias("__text")).distinct()
     if most:
-        own = own.withColumn("__n", F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(turn), "r", "c"))).filter(F.col("__n") <= most)
-    rows = F.array_sort(F.collect_list(F.struct(turn, "r", "c")))
-    return own.groupBy(conv).agg(F.array_join(F.transform(rows, lambda x: F.concat(x["r"], F.lit(": "), x["c"])), "\n").alias("history"))
+        own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__conv").orderBy(F.desc("__turn"), "__role", "__text"))).filter(F.col("__n") <= most)
+    rows = F.array_sort(F.collect_list(F.struct("__turn", "__role", "__text")))
+    lines = F.transform(rows, lambda x: F.concat(x["__role"], F.lit(": "), x["__text"]))
+    return own.groupBy("__conv").agg(F.array_join(lines, "\n").alias("history")).withColumnRenamed("__conv", conv)
 
 
 def context(df: DataFrame, rank: str, content: str, rows: int = 5, chars: int = 1000) -> DataFrame:
