@@ -13,6 +13,13 @@ from .session import cut, ship
 from .sources.files import load_documents
 
 
+RELEVANCE = "struct<scenario_type:string,rules:array<string>,entities:array<string>,test_points:array<string>>"
+CHUNKS = (
+    "chunk_id string, source string, file_hash string, version string, type string, part int, tags array<string>, module string, "
+    f"test_relevance {RELEVANCE}, chunk_index int, chunk string, chunk_type string, original_length int, embedding array<float>"
+)
+
+
 class KnowledgeBase:
     """Chunks, vectors and manifest as Parquet tables below a folder."""
 
@@ -71,7 +78,7 @@ class KnowledgeBase:
             return None
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/chunks")
 
     # -- query ------------------------------------------------------------------------------------------------------
 
@@ -99,6 +106,37 @@ class KnowledgeBase:
         ranked = parts.withColumn("rank", -F.col("score"))
         return search.first_seen(ranked, "query_no", "rank", "chunk").orderBy("query_no", "rank", "chunk_id").limit(top_k)
 
+    def filtered_retrieve(self, question: str, conditions: dict, top_k: int = TOP_K) -> DataFrame:
+        """Vector search alone, under equality conditions that are applied before the top-k."""
+        rows = search.matching(self.chunks(), conditions)
+        best = search.vector_topk(rows, "chunk_id", "embedding", [float(x) for x in self.embedder([question])[0]], 2 * top_k)
+        return rows.join(F.broadcast(best), "chunk_id").orderBy("rank").limit(top_k)
+
+    def parent_retrieve(self, question: str, top_k: int = TOP_K, **options) -> DataFrame:
+        """Whole files of the best chunks: their chunks joined in order, each file once, by its best chunk."""
+        hits = self.retrieve(question, top_k=2 * top_k, **options).select("source", (-F.col("score")).alias("rank"))
+        found = search.parents(hits, self.chunks().join(F.broadcast(hits.select("source").distinct()), "source", "left_semi"), "source", "rank")
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "part", "chunk_index", "chunk"))), lambda x: x["chunk"]), "\n\n")
+        return found.groupBy("source").agg(texts.alias("text"), F.min("best_rank").alias("best_rank")).orderBy("best_rank", "source").limit(top_k)
+
+    def advanced_retrieve(self, question: str, history: list[dict] | None = None, parent: bool = False, rewrites: list[str] | None = None, conditions: dict | None = None, top_k: int = TOP_K) -> DataFrame:
+        """A question in the light of a conversation, then parents, several queries, a filtered or a plain search."""
+        if history:
+            said = "\n".join(f"{'user' if m['role'] == 'user' else 'assistant'}: {m['content']}" for m in history)
+            question = self.chat.chat([{"role": "user", "content": f"{said}\n{question}"}]) or question
+        if parent:
+            return self.parent_retrieve(question, top_k, conditions=conditions)
+        if rewrites:
+            return self.multi_retrieve(question, rewrites, top_k, conditions=conditions)
+        return self.filtered_retrieve(question, conditions, top_k) if conditions else self.retrieve(question, top_k=top_k)
+
+    def delete(self, source: str) -> None:
+        """Remove a file's chunks and manifest row; readers keep the old folders until the new ones replace them."""
+        for name, kept in (("chunks", manifest.without_source(self.chunks(), source)), ("manifest", self.state().filter(F.col("path") != source))):
+            held = cut(kept)
+            writer = held.write.mode("overwrite")
+            (writer.partitionBy("version") if name == "chunks" else writer).parquet(f"{self.path}/{name}")
+
     def context(self, question: str, **options) -> str:
         got = self.retrieve(question, **options).withColumn("no", -F.col("score"))
         return search.context(got, "no", "chunk").first()[0]

@@ -303,6 +303,31 @@ def test_sources_and_engine(spark, tmp_path):
     hit = kb.retrieve("同步状态").collect()
     assert hit and hit[0].module == "仓储"
     assert "同步" in kb.ask("同步状态")
+    assert kb.filtered_retrieve("同步状态", {"module": "仓储"}).count() and kb.advanced_retrieve("同步状态", conditions={"module": "无"}).isEmpty()
+    assert kb.parent_retrieve("同步状态").first().source.endswith("a.md")
+    assert kb.multi_retrieve("同步状态", ["库存数量"]).count() == kb.multi_retrieve("同步状态", []).count() == 1
+    assert kb.advanced_retrieve("库存", [{"role": "user", "content": "同步"}]).count() == 1
+    kb.delete(hit[0].source)
+    assert kb.chunks().filter(F.col("source") == hit[0].source).isEmpty()
+
+
+def test_generation_loop_and_workbook(spark, tmp_path):
+    from foliomill.operators import generate
+    from foliomill.sources import office
+
+    class Scripted:
+        replies = ["no json", json.dumps([{"name": "", "step_id": 2, "step": "orphan"}, {"name": "A", "step_id": 1, "step": "x"}]), json.dumps([{"name": "A", "step_id": 1, "step": "again"}, {"name": "B", "step_id": 1, "step": "y"}, {"name": "", "step_id": 2, "step": "z"}])]
+
+        def chat(self, messages):
+            return self.replies.pop(0) if self.replies else "[]"
+
+    got = generate.generate(spark, Scripted(), "q", "c", 10, 5)
+    assert [(r.name, r.step, r.case_name, r.case_number) for r in got.orderBy("seq").collect()] == [("A", "x", "A", 1), ("B", "y", "B", 2), ("", "z", "B", None)]
+    generate.sheet_file(got, f"{tmp_path}/s.xlsx")
+    with open(f"{tmp_path}/s.xlsx", "rb") as f:
+        assert "| 2 |   |   | B |" in office.xlsx(f.read())["text"]
+    generate.report_files(got, f"file://{tmp_path}/report")
+    assert any("## B" in r.value for r in spark.read.text(f"file://{tmp_path}/report").collect())
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
