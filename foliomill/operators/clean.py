@@ -9,92 +9,118 @@ from ..functions.text import any_match, dedup_key, lines, strip
 from ..rules import APPROVAL_STARTS, METADATA_LINES, PAGE_LINES, REAL_HEADINGS, SEPARATORS, SHORT_DOC, TOC_ENTRIES, TOC_LINES, TOC_STARTS, WATERMARK_LINES
 
 
-def _rejoined(c: Column) -> Column:
-    return F.array_join(c, "\n")
+FLAGS = ("blank", "meta", "head", "toc", "entry", "approval", "rule", "page", "mark", "bar", "row", "dashes")
 
 
-def without_lines(text: Column, patterns) -> Column:
-    """The text without the lines whose stripped form matches."""
-    return _rejoined(F.filter(lines(text), lambda x: ~any_match(strip(x), patterns)))
+def classified(text: Column) -> Column:
+    """The lines with what each is by itself, every pattern matched once: the state machines read these flags alone."""
+    stripped = F.transform(lines(text), lambda x: F.struct(x.alias("line"), strip(x).alias("x")))
 
+    def flags(e):
+        x = e["x"]
+        return F.struct(
+            e["line"].alias("line"),
+            (x == "").alias("blank"),
+            any_match(x, METADATA_LINES).alias("meta"),
+            any_match(x, REAL_HEADINGS).alias("head"),
+            any_match(x, TOC_STARTS).alias("toc"),
+            any_match(x, TOC_ENTRIES).alias("entry"),
+            any_match(x, APPROVAL_STARTS).alias("approval"),
+            any_match(x, SEPARATORS).alias("rule"),
+            any_match(x, PAGE_LINES).alias("page"),
+            any_match(x, WATERMARK_LINES).alias("mark"),
+            x.startswith("|").alias("bar"),
+            (x.startswith("|") & x.endswith("|")).alias("row"),
+            F.contains(x, F.lit("---")).alias("dashes"),
+        )
 
-def without_page_lines(text: Column) -> Column:
-    return without_lines(text, PAGE_LINES)
+    return F.transform(stripped, flags)
 
 
-def without_watermarks(text: Column) -> Column:
-    return without_lines(text, WATERMARK_LINES)
+def _joined(marked: Column) -> Column:
+    return F.array_join(F.transform(marked, lambda e: e["line"]), "\n")
 
 
-def _machine(text: Column, start: dict[str, Column], step) -> Column:
-    """Fold the lines with a state struct that has an array `out`; the array becomes the text."""
-    zero = F.struct(*[v.alias(k) for k, v in start.items()], F.array().cast("array<string>").alias("out"))
-    return _rejoined(F.aggregate(lines(text), zero, step)["out"])
+def _machine(marked: Column, start: dict[str, Column], step) -> Column:
+    """Fold the lines with a state struct that has an array `out` of the lines kept."""
+    none = F.array().cast(f"array<struct<line:string,{','.join(f'{f}:boolean' for f in FLAGS)}>>")
+    return F.aggregate(marked, F.struct(*[v.alias(k) for k, v in start.items()], none.alias("out")), step)["out"]
 
 
-def _push(s: Column, line: Column, keep: Column) -> Column:
-    return F.when(keep, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out")
+def _push(s: Column, e: Column, keep: Column) -> Column:
+    return F.when(keep, F.concat(s["out"], F.array(e))).otherwise(s["out"]).alias("out")
 
 
-def without_metadata(text: Column) -> Column:
-    """Skip from a metadata line to a real heading or to the second blank line since (which is kept)."""
+def _metadata(marked: Column) -> Column:
+    def step(s, e):
+        blanks = F.when(e["meta"], 0).when(s["skip"] & e["blank"], s["blanks"] + 1).otherwise(s["blanks"])
+        leaves = s["skip"] & ~e["meta"] & ((e["blank"] & (s["blanks"] >= 1)) | (~e["blank"] & e["head"]))
+        skip = F.when(e["meta"], True).when(leaves, False).otherwise(s["skip"])
+        return F.struct(skip.alias("skip"), F.when(leaves, 0).otherwise(blanks).cast("int").alias("blanks"), _push(s, e, ~e["meta"] & (~s["skip"] | leaves)))
 
-    def step(s, line):
-        x = strip(line)
-        meta = any_match(x, METADATA_LINES)
-        blank, head = x == "", any_match(x, REAL_HEADINGS)
-        blanks = F.when(meta, 0).when(s["skip"] & blank, s["blanks"] + 1).otherwise(s["blanks"])
-        leaves = s["skip"] & ~meta & ((blank & (blanks >= 2)) | (~blank & head))
-        skip = F.when(meta, True).when(leaves, False).otherwise(s["skip"])
-        return F.struct(skip.alias("skip"), F.when(leaves, 0).otherwise(blanks).cast("int").alias("blanks"), _push(s, line, ~meta & (~s["skip"] | leaves)))
+    return _machine(marked, {"skip": F.lit(False), "blanks": F.lit(0)}, step)
 
-    return _machine(text, {"skip": F.lit(False), "blanks": F.lit(0)}, step)
 
+def _toc(marked: Column) -> Column:
+    def step(s, e):
+        begins = ~s["toc"] & e["toc"]
+        leaves = s["toc"] & ((s["n"] + 1 > TOC_LINES) | (~e["blank"] & ~e["entry"]))
+        n = F.when(s["toc"], s["n"] + 1).otherwise(0)
+        return F.struct((begins | (s["toc"] & ~leaves)).alias("toc"), n.cast("int").alias("n"), _push(s, e, (~s["toc"] & ~begins) | leaves))
 
-def without_toc(text: Column) -> Column:
-    """Skip a table of contents: its start, its entries and blanks, until a line that is none (kept) or the limit."""
+    return _machine(marked, {"toc": F.lit(False), "n": F.lit(0)}, step)
 
-    def step(s, line):
-        x = strip(line)
-        begins = ~s["toc"] & any_match(x, TOC_STARTS)
-        n = F.when(s["toc"], s["n"] + 1).otherwise(0)
-        leaves = s["toc"] & ((n > TOC_LINES) | ((x != "") & ~any_match(x, TOC_ENTRIES)))
-        return F.struct((begins | (s["toc"] & ~leaves)).alias("toc"), n.cast("int").alias("n"), _push(s, line, (~s["toc"] & ~begins) | leaves))
 
-    return _machine(text, {"toc": F.lit(False), "n": F.lit(0)}, step)
+def _approval(marked: Column) -> Column:
+    def step(s, e):
+        skip = F.when(e["approval"], True).when(e["head"], False).otherwise(s["skip"])
+        return F.struct(skip.alias("skip"), _push(s, e, ~skip))
 
+    return _machine(marked, {"skip": F.lit(False)}, step)
 
-def without_approval(text: Column) -> Column:
-    """Skip from an approval line to the next real heading (kept)."""
 
-    def step(s, line):
-        x = strip(line)
-        begins, head = any_match(x, APPROVAL_STARTS), any_match(x, REAL_HEADINGS)
-        skip = F.when(begins, True).when(head, False).otherwise(s["skip"])
-        return F.struct(skip.alias("skip"), _push(s, line, ~skip))
+def _separators(marked: Column) -> Column:
+    def step(s, e):
+        kept = e["row"] | (s["table"] & (e["bar"] | e["dashes"]))
+        ends = s["table"] & ~e["blank"] & ~e["bar"]
+        return F.struct(F.when(kept, True).when(ends, False).otherwise(s["table"]).alias("table"), _push(s, e, kept | ~e["rule"]))
 
-    return _machine(text, {"skip": F.lit(False)}, step)
+    return _machine(marked, {"table": F.lit(False)}, step)
 
 
-def without_separators(text: Column) -> Column:
-    """Drop drawn rules outside markdown tables; a rule right after a table's rows is kept, blank lines don't end it."""
+def without_page_lines(text: Column) -> Column:
+    """The text without the lines that only hold a page number."""
+    return _joined(F.filter(classified(text), lambda e: ~e["page"]))
+
+
+def without_watermarks(text: Column) -> Column:
+    return _joined(F.filter(classified(text), lambda e: ~e["mark"]))
+
+
+def without_metadata(text: Column) -> Column:
+    """Skip from a metadata line to a real heading or to the second blank line since (which is kept)."""
+    return _joined(_metadata(classified(text)))
+
 
-    def step(s, line):
-        x = strip(line)
-        row = x.startswith("|") & x.endswith("|")
-        rule = s["table"] & (x.startswith("|") | F.contains(x, F.lit("---")))
-        ends = s["table"] & (x != "") & ~x.startswith("|")
-        keep = row | rule | ~any_match(x, SEPARATORS)
-        return F.struct(F.when(row | rule, True).when(ends, False).otherwise(s["table"]).alias("table"), _push(s, line, keep))
+def without_toc(text: Column) -> Column:
+    """Skip a table of contents: its start, its entries and blanks, until a line that is none (kept) or the limit."""
+    return _joined(_toc(classified(text)))
 
-    return _machine(text, {"table": F.lit(False)}, step)
+
+def without_approval(text: Column) -> Column:
+    """Skip from an approval line to the next real heading (kept)."""
+    return _joined(_approval(classified(text)))
+
+
+def without_separators(text: Column) -> Column:
+    """Drop drawn rules outside markdown tables; a rule right after a table's rows is kept, blank lines don't end it."""
+    return _joined(_separators(classified(text)))
 
 
 def cleaned(text: Column) -> Column:
-    """All line and region filters, in their order."""
-    for f in (without_metadata, without_toc, without_approval, without_separators, without_page_lines, without_watermarks):
-        text = f(text)
-    return text
+    """All line and region filters, in their order; the lines are classified once."""
+    marked = _separators(_approval(_toc(_metadata(classified(text)))))
+    return _joined(F.filter(marked, lambda e: ~e["page"] & ~e["mark"]))
 
 
 def deduplicated(df: DataFrame, order: str, text: str) -> DataFrame:

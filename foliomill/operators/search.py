@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..plugins import Tokenizer, tokenize
+from ..session import cut
 from ..rules import BM25_B, BM25_EPSILON, BM25_K1, TOP_K, WEIGHT_BM25, WEIGHT_VECTOR
 
 
 def corpus_stats(df: DataFrame, text: str, tokenizer: Tokenizer = tokenize) -> tuple[DataFrame, DataFrame]:
     """(terms (term, df), corpus (n, avgdl, mean_idf)): document frequencies are combined before their shuffle."""
     docs = df.filter(F.col(text).isNotNull()).select(tokenizer(F.col(text)).alias("t"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    terms = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # One pass: each text adds its distinct terms, and itself under a mark that is no term.
+    mark = F.lit("\x00")
+    counted = docs.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(mark))).alias("term"))
+    counted = cut(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total")))
+    terms = counted.filter(F.col("term") != mark).select("term", "df")
+    sizes = counted.filter(F.col("term") == mark).select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = terms.crossJoin(F.broadcast(sizes)).agg(F.avg(idf).alias("mean_idf"))  # sizes and mean have one row
     return terms, sizes.crossJoin(mean)

@@ -226,10 +226,10 @@ def version_boost(s, sf):
 
 
 def multi_query_union(s, sf):
-    docs = _docs(s, sf)
-    parts = None
+    docs, parts = _docs(s, sf), None
+    stats = search.corpus_stats(docs, "text")
     for no, terms in enumerate((["system"], ["approval"], ["同", "步"])):
-        top = search.topk(search.bm25(docs, "doc_id", "text", terms), "bm25", "doc_id", 20)
+        top = search.topk(search.bm25(docs, "doc_id", "text", terms, stats=stats), "bm25", "doc_id", 20)
         top = top.withColumns({"query_no": F.lit(no), "rank": F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id"))})
         parts = top if parts is None else parts.unionByName(top)
     return search.first_seen(parts.select("doc_id", "query_no", "rank"), "query_no", "rank", "doc_id")
