@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sketch import SLOTS, covering_keys, finer_keys, packed_texts, plausible, sketches, verified
+from .sketch import SLOTS, compared, covering_keys, packed_texts, plausible, sketches, verified
 
-# Buckets up to this many texts give all their pairs; larger ones are resolved around centres (hot_pairs).
+# Buckets up to this many texts give all their pairs at once; larger ones are compared part by part (large_pairs).
 SMALL_BUCKET = 24
-# The same for a large bucket's parts.
-DIVIDED_BUCKET = 64
+# Texts of a large bucket's part, on average.
+DIVIDED_BUCKET = 512
 # Most ids that are broadcast (8 bytes each, with their hash table about 32 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -51,45 +51,22 @@ def expanded(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return rows.filter("bucket is null").select("a", "b"), rows.filter("bucket is not null").select("bucket", F.col("a").alias("key"))
 
 
-def bucket_pairs(heads: DataFrame, rounds: int, similarity) -> DataFrame:
-    """Candidate pairs (a < b) of heads (key, slots).
-
-    Pairs in small buckets come out as they are. A large bucket, of texts that share some common phrases or of many near
-    copies, is divided by the keys of the other rounds; what stays large then is near copies, see hot_pairs."""
+def bucket_pairs(heads: DataFrame, rounds: int, threshold: float) -> DataFrame:
+    """Candidate pairs (a < b) of heads (key, slots, bits): all pairs of small buckets, and those of large ones that the
+    sketch does not rule out."""
     pairs, large = expanded(covering_keys(heads, rounds), SMALL_BUCKET)
-    if large.isEmpty():
-        return pairs
-    more, hot = expanded(finer_keys(large.join(heads.select("key", "slots"), "key"), rounds), DIVIDED_BUCKET)
-    pairs = pairs.unionByName(more)
-    return (pairs if hot.isEmpty() else pairs.unionByName(hot_pairs(hot, similarity))).distinct()
+    return pairs if large.isEmpty() else pairs.unionByName(large_pairs(large, heads, rounds, threshold)).distinct()
 
 
-def hot_pairs(rows: DataFrame, similarity) -> DataFrame:
-    """Pairs that connect the large buckets (bucket, key) without forming all pairs.
+def large_pairs(large: DataFrame, heads: DataFrame, rounds: int, threshold: float) -> DataFrame:
+    """Pairs (a < b) of the large buckets (bucket, key) that the sketch does not rule out.
 
-    Each bucket's least key is its centre, and every member's exact distance to it is taken. Members x, y that are
-    both within the threshold of the centre are connected through it. Jaccard distance is a metric, so a member y beyond
-    the threshold t can be linked to a linked member x only if d(y) - d(x) <= t: such x and y are sent on as pairs of a
-    new bucket, all y as the bucket's rest; both shrink by a centre each round and end as small buckets."""
-    out = None
-    while True:
-        centre = rows.groupBy("bucket").agg(F.min("key").alias("a"))
-        spokes = rows.join(centre, "bucket").filter("key != a").withColumnRenamed("key", "b")
-        told, limit = similarity(spokes.select("a", "b").distinct())
-        told = cut(spokes.join(told, ["a", "b"]).select("bucket", "a", "b", (1 - F.col("similarity")).alias("d")))
-        links = told.filter(F.col("d") <= limit).select("a", "b").distinct()
-        out = links if out is None else out.unionByName(links)
-        far = told.filter(F.col("d") > limit)
-        reach = far.groupBy("bucket").agg(F.min("d").alias("nearest"))
-        # The linked members that some member beyond the threshold could still reach.
-        close = told.filter(F.col("d") <= limit).join(reach, "bucket").filter(F.col("nearest") - F.col("d") <= limit)
-        rest = far.select("bucket", F.col("b").alias("key")).unionByName(close.select("bucket", F.col("b").alias("key")))
-        # Only buckets with a member beyond the threshold go on.
-        rest = cut(rest.join(reach.select("bucket"), "bucket", "left_semi"))
-        small, rows = expanded(rest, DIVIDED_BUCKET)
-        out = cut(out.unionByName(small).distinct())
-        if rows.isEmpty():
-            return out
+    A bucket's texts are dealt to parts by a hash, and any two parts meet in one group, so all pairs are compared and no
+    task holds more than two parts. Which buckets two texts share is told by their slots: a pair comes out once."""
+    parts = large.groupBy("bucket").agg(F.ceil(F.count("*") / DIVIDED_BUCKET).cast("int").alias("parts"))
+    own = large.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    met = own.join(heads.select("key", "slots", "bits"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut(compared(met.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), rounds, threshold))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -129,10 +106,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     heads = sk.groupBy("digest").agg(F.min_by(F.struct("key", "slots", "bits"), "key").alias("h"), F.count("*").alias("copies"))
     heads = cut(heads.select("digest", "copies", "h.*"))
 
-    def similarity(pairs: DataFrame) -> tuple[DataFrame, float]:
-        return verified(fetched(pairs, df, key, text), pieces, width), 1 - threshold
-
-    pairs = bucket_pairs(heads, rounds, similarity)
+    pairs = bucket_pairs(heads, rounds, threshold)
     bits = heads.select("key", "bits")
     weighed = pairs.join(bits.withColumnsRenamed({"key": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"key": "b", "bits": "bits_b"}), "b")
     candidates = cut(plausible(weighed, threshold))

@@ -109,48 +109,61 @@ def table_keys(rows: np.ndarray, rounds: int) -> list[np.ndarray]:
     return out
 
 
-def finer_keys(df: DataFrame, rounds: int) -> DataFrame:
-    """(bucket, key): each row of (bucket, key, slots) in its bucket divided by the covering keys of every other round.
+def likely(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Do the one-bit sketches (... x 2 x BINS / 64, 64 bits each) leave the threshold possible? Few filled bins widen the margin."""
+    p = (1 + threshold) / 2
+    both = x[..., 1, :] & y[..., 1, :]
+    filled = np.bitwise_count(both).sum(axis=-1, dtype=np.int64)
+    same = filled - np.bitwise_count((x[..., 0, :] ^ y[..., 0, :]) & both).sum(axis=-1, dtype=np.int64)
+    # Bins that only one side fills lower the estimate of small sets, they never raise it: left out on both sides.
+    return same >= filled * p - SIGMAS * np.sqrt(np.maximum(filled, 1) * p * (1 - p)) - 1
+
+
+def grid(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), U).reshape(len(bits), 2, BINS // 64)
 
-    A pair stays together if it collides in a second round as well: 0.99 of pairs at 0.7, 0.9999 at 0.8, of those that
-    share no small bucket anyway."""
+
+def compared(df: DataFrame, rounds: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: the pairs of parts i and j of each bucket that the sketch does not rule out, only in the first bucket
+    that both texts share. df: (bucket, i, j, part, key, slots, bits), a group for any two parts."""
     need = rounds * SLOTS
 
-    def run(batches):
+    def run(t):
+        key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
+        bits = grid(t.column("bits").to_pylist())
+        rows = np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint32).reshape(len(t), -1)[:, :need].astype(U)
         with np.errstate(over="ignore"):
-            for b in batches:
-                if not len(b):
-                    continue
-                rows = np.frombuffer(b"".join(b.column("slots").to_pylist()), np.uint32).reshape(len(b), -1)[:, :need].astype(U)
-                bucket = b.column("bucket").to_numpy().view(U)
-                keys = table_keys(rows, rounds)
-                own = np.zeros(len(b), np.int64)  # round of the bucket itself
-                for i, x in enumerate(keys):
-                    own[x == bucket] = i // len(MASKS)
-                for i, x in enumerate(keys):
-                    other = np.flatnonzero(own != i // len(MASKS))
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(bucket[other] * U(0x9E3779B97F4A7C15) + x[other]).view(np.int64)), b.column("key").take(pa.array(other))], names=["bucket", "key"])
+            keys = np.stack(table_keys(rows, rounds), axis=1)
+        bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        bucket = np.array([bucket], np.int64).view(U)[0]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        out = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(left), 64):
+            x, y = np.nonzero(likely(bits[left[lo : lo + 64], None], bits[None, right], threshold))
+            x, y = left[lo + x], right[y]
+            if i == j:
+                x, y = x[key[x] < key[y]], y[key[x] < key[y]]
+            if not len(x):
+                continue
+            first = np.argmax(keys[x] == keys[y], axis=1)
+            own = keys[x, first] == bucket
+            a, b = key[x[own]], key[y[own]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
 
-    return df.select("bucket", "key", "slots").mapInArrow(run, "bucket long, key long")
+    return df.select("bucket", "i", "j", "part", "key", "slots", "bits").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def plausible(pairs: DataFrame, threshold: float, left: str = "bits_a", right: str = "bits_b") -> DataFrame:
-    """Drop the pairs whose one-bit sketches rule the threshold out. Few filled bins widen the margin."""
-    p = (1 + threshold) / 2
+    """Drop the pairs whose one-bit sketches rule the threshold out."""
 
     def run(batches):
         for b in batches:
-            n = len(b)
-            if not n:
+            if not len(b):
                 yield b.drop_columns([left, right])
                 continue
-            grid = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(n, 2, BINS // 8)
-            x, y = grid(left), grid(right)
-            both = x[:, 1] & y[:, 1]
-            filled = np.bitwise_count(both).sum(axis=1)
-            same = filled - np.bitwise_count((x[:, 0] ^ y[:, 0]) & both).sum(axis=1)
-            # Bins that only one side fills lower the estimate of small sets, they never raise it: left out on both sides.
-            ok = same >= filled * p - SIGMAS * np.sqrt(np.maximum(filled, 1) * p * (1 - p)) - 1
+            ok = likely(grid(b.column(left).to_pylist()), grid(b.column(right).to_pylist()), threshold)
             yield b.drop_columns([left, right]).filter(pa.array(ok))
 
     names = [f for f in pairs.schema.fields if f.name not in (left, right)]

@@ -86,6 +86,30 @@ def test_hot_buckets_keep_every_connection(spark, monkeypatch):
     assert {tuple(r) for r in neardup.group_pairs(members).collect()} == groups(rows)
 
 
+def near_threshold_rows():
+    """One class of 420 texts around a common stock, most pairs at 0.60-0.70."""
+    rng = random.Random(11)
+    base = text(120, rng)
+    return [(k, edited(base, 8, rng)) for k in range(1, 421)]
+
+
+def true_links(rows, t=0.6):
+    sets = {k: pieces(x) for k, x in rows}
+    both = ((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b)
+    return {(a, b): c / (len(sets[a]) + len(sets[b]) - c) for a, b, c in both if c >= t * (len(sets[a]) + len(sets[b]) - c)}
+
+
+def test_large_buckets_need_no_second_collision(spark):
+    rows = near_threshold_rows()
+    df = spark.createDataFrame(rows, "id long, body string")
+    heads = neardup.cut(neardup.sketches(df, "id", "body", "chars", 5, 6 * neardup.SLOTS))
+    buckets = neardup.covering_keys(heads, 6).groupBy("bucket").agg(F.collect_list("key").alias("keys")).filter("size(keys) > 24").collect()
+    together = {(a, b) for r in buckets for a in r["keys"] for b in r["keys"] if a < b}
+    want = {p for p, s in true_links(rows).items() if s <= 0.7} & together
+    _, links = neardup.near_duplicates(df, "id", "body", 0.6, "chars", 5)
+    assert len(want) > 500 and want <= {(r.a, r.b) for r in links.collect()}
+
+
 def test_batches_match_brute_force(spark, tmp_path):
     rows = dirty_rows(7, 14)
     kb, new = [r for r in rows if r[0] % 3 == 0], [(k, k % 4 if k % 5 else None, t) for k, t in rows if k % 3]
