@@ -110,6 +110,17 @@ def test_large_buckets_need_no_second_collision(spark):
     assert len(want) > 500 and want <= {(r.a, r.b) for r in links.collect()}
 
 
+def test_large_classes_count_all_links(spark):
+    rng = random.Random(17)
+    base = text(400, rng)
+    rows = [(k, edited(base, 1, rng)) for k in range(1, 201)]
+    want = true_links(rows)
+    assert min(want.values()) > 0.75 and len({x for _, x in rows}) == 200
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "id long, body string"), "id", "body", 0.6, "chars", 5)
+    assert {(r.a, r.b) for r in links.collect()} == set(want)
+    assert {r.key: r.links for r in members.collect()} == {k: sum(k in p for p in want) for k, _ in rows}
+
+
 def test_batches_match_brute_force(spark, tmp_path):
     rows = dirty_rows(7, 14)
     kb, new = [r for r in rows if r[0] % 3 == 0], [(k, k % 4 if k % 5 else None, t) for k, t in rows if k % 3]
