@@ -38,6 +38,7 @@ EDGE = 3  # lines at each end of a page that may be furniture
 BITS, LAST = 21, (1 << 21) - 1
 SAMPLE = 6000  # rows of either class that a classifier is trained on, at most
 LEAST = 3  # times that clean text must show a candidate
+VOTED = 3  # words that must show a confusion for it to damage words for the training
 
 
 def width(line: str) -> int:
@@ -195,16 +196,19 @@ def joined(lines: list[str], skip: set[int]) -> list[tuple[list[int], str]]:
     return blocks
 
 
+def hyphened(text: str, start: int, end: int) -> bool:
+    """Is text[start:end] part of a compound?"""
+    return "-" in (text[max(0, start - 1) : start], text[end : end + 1])
+
+
 def raw_tokens(text: str):
-    """(start, token) of the Latin tokens that may have been misread: at least three letters' room and no pure number or code."""
+    """(start, token, in a compound) of the Latin tokens that may have been misread: at least three letters' room and no pure number or code."""
     for m in RAW.finditer(text):
         t = m.group().rstrip("!|$")
         if len(t) >= 3 and sum(c.isalpha() for c in t) * 2 >= len(t) and not (t.isupper() and len(t) <= 3):
             if m.start() and text[m.start() - 1] in "._/" or text[m.start() + len(t) : m.start() + len(t) + 1] in ("_", "/"):
                 continue  # part of a name like t_batch.qty
-            if t.isalpha() and "-" in (text[m.start() - 1 : m.start()], text[m.start() + len(t) : m.start() + len(t) + 1]):
-                continue  # part of a compound, which clean text need not know
-            yield m.start(), t
+            yield m.start(), t, hyphened(text, m.start(), m.start() + len(t))
 
 
 def odd_inside(token: str) -> bool:
@@ -213,33 +217,36 @@ def odd_inside(token: str) -> bool:
 
 
 def han_grams(text: str) -> list[tuple[int, int]]:
-    """(position, packed trigram) around every Han character with two neighbours."""
-    cp = [ord(c) for c in re.sub(r"\d", "0", text)]
-    return [(k, (cp[k - 1] << 2 * BITS) | (cp[k] << BITS) | cp[k + 1]) for k in range(1, len(cp) - 1) if 0x3400 <= cp[k] <= 0x9FFF]
+    """(position, packed trigram) around every Han character; a text's edges have a newline as neighbour, as lines of clean text do."""
+    cp = [ord(c) for c in re.sub(r"\d", "0", f"\n{text}\n")]
+    return [(k - 1, (cp[k - 1] << 2 * BITS) | (cp[k] << BITS) | cp[k + 1]) for k in range(1, len(cp) - 1) if 0x3400 <= cp[k] <= 0x9FFF]
 
 
 def clean_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words (w, n), grams (g, n)) of the texts of clean records (a column t)."""
+    """(words (w, n, c), grams (g, n)) of the texts of clean records (a column t); c counts a word's uses in compounds."""
 
     def run(batches):
         for b in batches:
             words: dict[str, int] = {}
+            inside: dict[str, int] = {}
             parts = []
             for t in b.column(0).to_pylist():
-                for w in WORD.findall(t):
-                    w = w.lower()
+                for m in WORD.finditer(t):
+                    w = m.group().lower()
                     words[w] = words.get(w, 0) + 1
-                cp = np.frombuffer(re.sub(r"\d", "0", t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                    if hyphened(t, *m.span()):
+                        inside[w] = inside.get(w, 0) + 1
+                cp = np.frombuffer(re.sub(r"\d", "0", f"\n{t}\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
                 if len(cp) > 2:
                     g = (cp[:-2] << 2 * BITS) | (cp[1:-1] << BITS) | cp[2:]
                     parts.append(g[(cp[1:-1] >= 0x3400) & (cp[1:-1] <= 0x9FFF)])
             g, n = np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, *[None] * len(g)], pa.string()), pa.array([*[None] * len(words), *g.tolist()], pa.int64()), pa.array([*words.values(), *n.tolist()], pa.int64())], names=["w", "g", "n"]
+                [pa.array([*words, *[None] * len(g)], pa.string()), pa.array([*[None] * len(words), *g.tolist()], pa.int64()), pa.array([*words.values(), *n.tolist()], pa.int64()), pa.array([*(inside.get(w, 0) for w in words), *[0] * len(g)], pa.int64())], names=["w", "g", "n", "c"]
             )
 
-    both = cut(df.mapInArrow(run, "w string, g long, n long").groupBy("w", "g").agg(F.sum("n").alias("n")))
-    return both.filter("w is not null").select("w", "n"), both.filter("g is not null").select("g", "n")
+    both = cut(df.mapInArrow(run, "w string, g long, n long, c long").groupBy("w", "g").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
+    return both.filter("w is not null").select("w", "n", "c"), both.filter("g is not null").select("g", "n")
 
 
 def change(token: str, word: str) -> tuple[str, str]:
@@ -296,33 +303,39 @@ def word_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return likely.select("token", "word", "n").mapInArrow(check, "token string, word string, n long, x string, y string")
 
 
-def word_features(votes: int, n: int, token: str, x: str, y: str, cap: bool) -> list[float]:
-    return [np.log1p(votes), np.log1p(n), len(token), any(not c.isalpha() for c in token), len(x) != len(y), cap, any(not c.isalpha() for c in x)]
+def word_features(votes: int, n: int, token: str, x: str, y: str, cap: bool, compound: bool) -> list[float]:
+    return [np.log1p(votes), np.log1p(n), len(token), any(not c.isalpha() for c in token), len(x) != len(y), cap, any(not c.isalpha() for c in x), compound]
 
 
 def word_corrections(pages_tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, fix): misread Latin tokens, lower-cased, with the word they stand for. pages_tokens: (token, n, cap)."""
+    """(token, fix): misread Latin tokens, lower-cased, with the word they stand for. pages_tokens: (token, n, cap, compound);
+    words: (w, n, c)."""
     known = words.filter(f"n >= {LEAST}")
     unknown = cut(pages_tokens.join(words.select(F.col("w").alias("token")), "token", "left_anti"))
-    found = cut(word_candidates(unknown, known).join(unknown.select("token", "cap"), "token"))
-    votes = found.groupBy("x", "y").agg(F.countDistinct("word").alias("votes"))
-    rated = cut(found.join(votes, ["x", "y"]))
+    found = cut(word_candidates(unknown, known).join(unknown.select("token", "cap", "compound"), "token"))
+    # Clean text need not know the parts of compounds: letters alone there don't vote, and count as misread only by a
+    # confusion that other tokens show in VOTED words.
+    part = F.col("compound") & ~F.col("token").rlike("[^a-z]")
+    votes = found.filter(~part).groupBy("x", "y").agg(F.countDistinct("word").alias("votes"))
+    rated = cut(found.join(votes, ["x", "y"]).filter(~part | (F.col("votes") >= VOTED)))
     # Confusions seen in many words damage clean words for the training; rare clean words are right as they stand.
-    frequent = [(r.x, r.y, r.votes) for r in votes.filter("votes >= 3").orderBy(F.desc("votes"), "x", "y").limit(200).collect()]
-    clean = [(r.w, r.n) for r in known.orderBy(F.xxhash64("w")).limit(SAMPLE).collect()]
-    rare = words.filter("n <= 2 and length(w) >= 3").orderBy(F.xxhash64("w")).limit(SAMPLE).select(F.col("w").alias("token"))
-    wrong = word_candidates(cut(rare), known).join(bounded(votes), ["x", "y"], "left").fillna(0, ["votes"]).limit(3 * SAMPLE).collect()
+    frequent = [(r.x, r.y, r.votes) for r in votes.filter(f"votes >= {VOTED}").orderBy(F.desc("votes"), "x", "y").limit(200).collect()]
+    # A damaged use is one in a compound as often as the word's uses are.
+    clean = [(r.w, r.n, stable_hash(r.w) % r.n < r.c) for r in known.orderBy(F.xxhash64("w")).limit(SAMPLE).collect()]
+    rare = words.filter("n <= 2 and length(w) >= 3").orderBy(F.xxhash64("w")).limit(SAMPLE).select(F.col("w").alias("token"), (F.col("c") == F.col("n")).alias("compound"))
+    rare = cut(rare)
+    wrong = word_candidates(rare, known).join(F.broadcast(rare), "token").join(bounded(votes), ["x", "y"], "left").fillna(0, ["votes"]).limit(3 * SAMPLE).collect()
     rows, labels = [], []
-    for k, (w, n) in enumerate(clean):
+    for k, (w, n, compound) in enumerate(clean):
         for x, y, v in frequent[k % 3 :: 3]:
             at = w.find(y)
             if at >= 0:
                 token = w[:at] + x + w[at + len(y) :]
-                rows.append(word_features(v, n, token, x, y, False))
+                rows.append(word_features(v, n, token, x, y, False, compound))
                 labels.append(1)
                 break
     for r in wrong:
-        rows.append(word_features(r.votes, r.n, r.token, r.x, r.y, False))
+        rows.append(word_features(r.votes, r.n, r.token, r.x, r.y, False, r.compound))
         labels.append(0)
     model = Booster(40).fit(np.array(rows), np.array(labels)) if len(set(labels)) == 2 else None
     sent = rated.sparkSession.sparkContext.broadcast(model)
@@ -332,13 +345,13 @@ def word_corrections(pages_tokens: DataFrame, words: DataFrame) -> DataFrame:
             if not len(b):
                 continue
             d = b.to_pylist()
-            x = np.array([word_features(r["votes"], r["n"], r["token"], r["x"], r["y"], bool(r["cap"])) for r in d])
+            x = np.array([word_features(r["votes"], r["n"], r["token"], r["x"], r["y"], bool(r["cap"]), bool(r["compound"])) for r in d])
             s = sent.value.score(x) if sent.value else np.where(x[:, 6] > 0, 1.0, -1.0)
             # A sign or digit inside a word is never right, whatever the corpus has seen.
             s = np.where(x[:, 3] > 0, np.maximum(s, 1.0), s)
             yield pa.RecordBatch.from_arrays([b.column("token"), b.column("word"), pa.array(s)], names=["token", "fix", "score"])
 
-    scored = rated.select("token", "word", "n", "x", "y", "votes", "cap").mapInArrow(judge, "token string, fix string, score double").filter("score > 0")
+    scored = rated.select("token", "word", "n", "x", "y", "votes", "cap", "compound").mapInArrow(judge, "token string, fix string, score double").filter("score > 0")
     return scored.groupBy("token").agg(F.max_by("fix", F.struct("score", "fix")).alias("fix"))
 
 
@@ -418,10 +431,10 @@ def analysed(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame
 
     def units(batches):
         for b in batches:
-            rows = {"key": [], "line_no": [], "token": [], "cap": [], "g": [], "kind": []}
+            rows = {"key": [], "line_no": [], "token": [], "cap": [], "compound": [], "g": [], "kind": []}
 
-            def add(key, line_no, token=None, cap=False, g=None, kind=None):
-                for c, v in zip(rows, (key, line_no, token, cap, g, kind), strict=True):
+            def add(key, line_no, token=None, cap=False, compound=False, g=None, kind=None):
+                for c, v in zip(rows, (key, line_no, token, cap, compound, g, kind), strict=True):
                     rows[c].append(v)
 
             for k, t, skip in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -432,17 +445,17 @@ def analysed(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame
                     if all(m in out for m in range(i + 1, j)) and divided(lines[i], lines[j]):
                         add(k, i, kind="hyphen_break")
                 for where, block in joined(lines, out):
-                    for at, token in raw_tokens(block):
+                    for at, token, compound in raw_tokens(block):
                         # The line of the odd character decides; for a plain token the line it starts on.
                         odd = next((m for m, c in enumerate(token) if not c.isalpha()), 0)
-                        add(k, where[at + odd], token.lower(), token[0].isupper(), kind="misread" if odd_inside(token) else None)
+                        add(k, where[at + odd], token.lower(), token[0].isupper(), compound, kind="misread" if odd_inside(token) else None)
                     for at, g in han_grams(block):
                         add(k, where[at], g=g)
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    seen = cut(scans.select("key", "text", "skip").mapInArrow(units, "key long, line_no int, token string, cap boolean, g long, kind string"))
-    tokens = seen.filter("token is not null").groupBy("token").agg(F.count("*").alias("n"), F.min("cap").alias("cap"))
+    seen = cut(scans.select("key", "text", "skip").mapInArrow(units, "key long, line_no int, token string, cap boolean, compound boolean, g long, kind string"))
+    tokens = seen.filter("token is not null").groupBy("token").agg(F.count("*").alias("n"), F.min("cap").alias("cap"), F.min("compound").alias("compound"))
     fix_words = cut(word_corrections(tokens, words))
     fix_grams = cut(gram_corrections(seen.filter("g is not null").groupBy("g").agg(F.count("*").alias("n")), grams))
     latin = seen.filter("token is not null").join(bounded(fix_words), "token").select("key", "line_no", "token", F.lit(None).cast("long").alias("g"), "fix")
@@ -495,7 +508,7 @@ def repaired(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                     for at, g in reversed(han_grams(s)):
                         if g in grams:
                             s = s[:at] + grams[g] + s[at + 1 :]
-                    for at, token in reversed(list(raw_tokens(s))):
+                    for at, token, _ in reversed(list(raw_tokens(s))):
                         if token.lower() in words:
                             new = words[token.lower()]
                             s = s[:at] + (new.capitalize() if token[0].isupper() else new) + s[at + len(token) :]

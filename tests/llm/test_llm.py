@@ -257,6 +257,11 @@ def test_scan_helpers():
     assert scans.joined(["A requis-", "ition is", "", "p. 3", "库位", "调整"], {3}) == [([0] * 8 + [1] * 8, "A requisition is"), ([4, 4, 5, 5], "库位调整")]
 
 
+def test_scan_units_cover_compounds_and_edges():
+    assert [t[1] for t in scans.raw_tokens("a cross-chcck bar, sliop-wide")] == ["cross", "chcck", "bar", "sliop", "wide"]
+    assert [k for k, _ in scans.han_grams("库位调整")] == [0, 1, 2, 3]
+
+
 def test_scan_noise_and_repair(spark):
     rng = random.Random(11)
     sent = lambda: " ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "."
