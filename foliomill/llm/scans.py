@@ -1,8 +1,9 @@
 """Problem 6: noise in text from scanned pages.
 
 Method: pages of scanned sources are found by their hard-wrapped lines. A
-boosted line-pair classifier tells which lines continue one another, edges
-that repeat a source's title or hold a page number are furniture. Words and
+fixed rule tells divided words, edges that repeat a source's title or hold a
+page number are furniture; a boosted line-pair classifier, trained on at most
+300 texts, tells which lines continue one another for the repair. Words and
 characters that clean text never shows get correction candidates through an
 inverted join on character q-grams; a boosted ranker, trained on clean units
 and on clean units damaged with the confusions mined from the corpus itself,
