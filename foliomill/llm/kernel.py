@@ -28,6 +28,14 @@ def category_table(kinds: str) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def wide_table() -> np.ndarray:
+    """Columns by code point: 2 for wide and full-width characters, else 1."""
+    out = np.ones(sys.maxunicode + 1, np.uint8)
+    out[:0x40000] = [1 + (unicodedata.east_asian_width(chr(c)) in "WF") for c in range(0x40000)]
+    return out
+
+
 def passes(texts: list, weight=len) -> Iterator[tuple[int, int]]:
     """Ranges of texts with at most PASS_CHARS characters each (one text may exceed it alone)."""
     start = size = 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from .sketch import SLOTS, compared, covering_keys, packed_texts, plausible, sketches, verified
@@ -19,13 +20,22 @@ from .sketch import SLOTS, compared, covering_keys, packed_texts, plausible, ske
 SMALL_BUCKET = 24
 # Texts of a large bucket's part, on average.
 DIVIDED_BUCKET = 512
-# Most ids that are broadcast (8 bytes each, with their hash table about 32 MB); beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
+# Most bytes of a table that is broadcast, as rows in memory; beyond it the join is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Mark df for broadcast if it is counted to be small; else leave the join to be shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Mark df for broadcast if its rows, measured with their texts and arrays, are small; else ask for a shuffled join.
+
+    df is read for that, so it should be a table that is already written."""
+    size = F.lit(32 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 * F.coalesce(F.size(F.col(f.name)), F.lit(0))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df.hint("merge")
 
 
 def fetched(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -254,12 +254,13 @@ def test_scan_helpers():
     assert not any(scans.PAGE_NUMBER.match(x) for x in ("12 rows", "Table 4", "第三章", "a"))
     assert scans.divided("the requis-", "ition goes") and not scans.divided("shows EX-", "8949") and not scans.divided("filled at -", "first")
     assert scans.change("h0urs", "hours") == ("0", "o") and scans.change("rovvs", "rows") == ("vv", "w")
-    assert scans.joined(["A requis-", "ition is", "", "p. 3", "库位", "调整"], {3}) == [([0] * 8 + [1] * 8, "A requisition is"), ([4, 4, 5, 5], "库位调整")]
+    blocks = scans.joined(["A requis-", "ition is", "", "p. 3", "库位", "调整"], {3})
+    assert [(w.tolist(), t) for w, t in blocks] == [([0] * 8 + [1] * 8, "A requisition is"), ([4, 4, 5, 5], "库位调整")]
 
 
 def test_scan_units_cover_compounds_and_edges():
     assert [t[1] for t in scans.raw_tokens("a cross-chcck bar, sliop-wide")] == ["cross", "chcck", "bar", "sliop", "wide"]
-    assert [k for k, _ in scans.han_grams("库位调整")] == [0, 1, 2, 3]
+    assert scans.packed_grams(["库位调整", "a库"])[0].tolist() == [0, 1, 2, 3, 6]
 
 
 def test_scan_noise_and_repair(spark):
