@@ -37,7 +37,7 @@ NUMBER = r"[\dOolI]{1,4}"
 PAGE_NUMBER = re.compile(rf"^(?:page|p|pg|no|seite)?[\s.]*{NUMBER}(?:\s*(?:of|/)\s*{NUMBER})?$|^[-–—·\[(（【~*|]+\s*{NUMBER}\s*[-–—·\])）】~*|]+$|^第\s*{NUMBER}\s*页(?:\s*[,，/]?\s*共\s*{NUMBER}\s*页)?$", re.I)
 NUMBER_FORMS = ("{}", "- {} -", "[{}]", "·{}·", "Page {}", "P.{}", "p. {}", "Page {} of {}", "{} / {}", "第 {} 页", "第{}页 共{}页")
 WORD = re.compile(r"[A-Za-z][A-Za-z]+")
-COMPOUND = re.compile(r"(?<=-)[A-Za-z][A-Za-z]+|[A-Za-z][A-Za-z]+(?=-)")
+COMPOUND = re.compile(r"(?<![A-Za-z])(?:(?<=-)[A-Za-z]{2,}|[A-Za-z]{2,}+(?=-))")
 # A raw token may hold what the scan made of its letters.
 RAW = re.compile(r"[A-Za-z0-9@!$|]+")
 HAN = re.compile(r"[㐀-鿿]")
