@@ -2,8 +2,8 @@
 
 Method: pointer doubling. Every boundary of a text is joined to its farthest
 legal successor (the end of the next piece, overlap included); squaring that
-successor table marks all greedy cuts in log(pieces) passes. The tables of all
-texts of an Arrow batch are squared together; texts never cross a shuffle.
+successor table marks all greedy cuts in log(pieces) passes. Each text has its own
+table, texts are handled where they are and never cross a shuffle.
 """
 
 from __future__ import annotations
