@@ -48,13 +48,14 @@ def repeated_lines(df: DataFrame, key: str, text: str, source: str, least_record
     no rows."""
     records = identified(df, key, text, source)
     lines = cut(frequent_lines(records, least_records, least_share))
-    by_source = lines.groupBy("s").agg(F.collect_set("id").alias("frequent"))
+    by_source = cut(lines.groupBy("s").agg(F.collect_set("id").alias("frequent")))
     hit = records.join(bounded(by_source), "s").select("key", F.posexplode(F.transform("ids", lambda x: F.array_contains("frequent", x))).alias("line_no", "hit"))
     return hit.filter("hit").select(F.col("key").alias(key), "line_no")
 
 
-def frequent_sequences(df: DataFrame, key: str, text: str, source: str, least_records: int = 10, least_share: float = 0.3, longest: int = 3) -> DataFrame:
-    """(source, length, lines, support): the frequent sequences of up to `longest` lines of every source, gaps allowed.
+def frequent_sequences(df: DataFrame, key: str, text: str, source: str, least_records: int = 10, least_share: float = 0.3, longest: int | None = None) -> DataFrame:
+    """(source, length, lines, support): the frequent sequences of lines of every source, gaps allowed, as long as there are
+    any; longest: up to so many lines only.
 
     lines joins the letters of the sequence's lines by ' | '. Support is the number of distinct records."""
     records = identified(df, key, text, source)
@@ -62,14 +63,16 @@ def frequent_sequences(df: DataFrame, key: str, text: str, source: str, least_re
     spots = (
         records.select("key", "s", F.posexplode("ids").alias("at", "id"))
         .filter("id is not null")
-        .join(bounded(lines.select("s", "id", "bar")), ["s", "id"])
+        .join(bounded(lines.select("id", "bar")), "id")  # an id tells its source
     )
     # A row identifier stands in for the key, so repeated keys stay distinct records.
     spots = cut(spots.select("s", "key", "id", "at", "bar"))
     grown = spots.groupBy("s", "key", "bar", F.array("id").alias("ids")).agg(F.min("at").alias("at"))
     found = lines.select("s", F.array("id").alias("ids"), "support")
     later = spots.select("s", "key", F.col("id").alias("next"), F.col("at").alias("then"))
-    for _ in range(longest - 1):
+    length = 1
+    while longest is None or length < longest:
+        length += 1
         wider = grown.join(later, ["s", "key"]).filter("then > at").groupBy("s", "key", "bar", F.concat("ids", F.array("next")).alias("ids")).agg(F.min("then").alias("at"))
         wider = cut(wider)
         support = cut(wider.groupBy("s", "ids", "bar").agg(F.count("*").alias("support")).filter("support >= bar").select("s", "ids", "support"))
@@ -79,6 +82,7 @@ def frequent_sequences(df: DataFrame, key: str, text: str, source: str, least_re
         grown = wider.join(bounded(support.select("s", "ids")), ["s", "ids"], "left_semi")
     named = df.select(F.col(source).alias("source"), F.explode(F.split(F.lower(F.col(text)), "\n")).alias("line")).withColumn("letters", F.regexp_replace("line", r"[^\p{L}]+", ""))
     words = named.withColumn("id", F.xxhash64("source", "letters")).join(bounded(lines.select("id")), "id", "left_semi").groupBy("id").agg(F.min("source").alias("source"), F.min("letters").alias("letters"))
+    words = cut(words)
     parts = found.select("s", "ids", "support", F.posexplode("ids").alias("k", "id")).join(bounded(words), "id")
     joined = parts.groupBy("s", "ids", "support").agg(F.min("source").alias("source"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "letters"))), lambda x: x["letters"]), " | ").alias("lines"))
     return joined.select("source", F.size("ids").alias("length"), "lines", "support")
@@ -89,7 +93,7 @@ def without_repeated_lines(df: DataFrame, key: str, text: str, source: str, leas
 
     Texts never cross a shuffle while the frequent lines are few enough to be broadcast (see bounded)."""
     lines = cut(frequent_lines(identified(df, key, text, source), least_records, least_share))
-    by_source = lines.groupBy("s").agg(F.collect_set("id").alias("frequent"))
+    by_source = cut(lines.groupBy("s").agg(F.collect_set("id").alias("frequent")))
     own = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(source).alias("s"), line_ids(F.col(source), F.col(text)).alias("ids"))
     kept = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("ids").alias("id")), lambda x: ~F.coalesce(F.array_contains("frequent", x["id"]), F.lit(False)))
     clean = F.when(F.col("frequent").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))

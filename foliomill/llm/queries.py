@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_sequences(spark: SparkSession, sf: str) -> DataFrame:
     from .houselines import frequent_sequences
 
-    return frequent_sequences(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3, 3)
+    return frequent_sequences(table(spark, sf, "kb_document"), "record_id", "page_content", "source", 10, 0.3)
 
 
 def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
