@@ -8,6 +8,8 @@ meet the bound of the edit budget are kept and verified by banded alignment.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,19 +32,48 @@ class Index:
         h, hoff = windows(self.cp, self.off, q)
         item = np.repeat(np.arange(len(ids)), np.diff(hoff))
         pos = np.arange(len(h)) - hoff[:-1][item]
+        self.own, self.hoff = h, hoff
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.pos = h[order], item[order].astype(np.int32), pos[order].astype(np.int32)
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.h >> U(64 - BITS)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in h, item, position in the item) of all equal q-grams."""
-        at = np.flatnonzero(self.bitmap[h >> U(64 - BITS)])
-        lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        n = hi - lo
-        src = np.repeat(np.arange(len(at)), n)
-        k = np.arange(len(src)) - (np.cumsum(n) - n)[src] + lo[src]
-        return at[src], self.item[k], self.pos[k]
+        # How many q-grams equal each entry: a common one is the last to be looked up.
+        first = np.searchsorted(self.h, self.h, "left")
+        self.count = np.bincount(first, minlength=len(self.h))[first].astype(np.int32) if len(self.h) else np.zeros(0, np.int32)
+
+    def rank(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first entry, number of entries) of each q-gram; 0 entries where the index lacks it."""
+        at, n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        if not len(self.h):
+            return at, n
+        near = np.flatnonzero(self.bitmap[h >> U(64 - BITS)])
+        lo = np.minimum(np.searchsorted(self.h, h[near], "left"), len(self.h) - 1)
+        hit = self.h[lo] == h[near]
+        at[near[hit]], n[near[hit]] = lo[hit], self.count[lo[hit]]
+        return at, n
+
+    def candidates(self, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of the places where `run` q-grams in a row of h may equal those of an item, each once.
+
+        Any such run holds a whole block of half its length. Of a block all of whose q-grams the index knows, the rarest
+        alone is looked up: text that many items share, or that repeats one character, is never expanded gram by gram."""
+        at, n = self.rank(h)
+        size = max(1, (run + 1) // 2)
+        blocks = len(h) // size
+        if not blocks:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grid = n[: blocks * size].reshape(blocks, size)
+        whole = np.flatnonzero((grid > 0).all(axis=1))
+        spot = whole * size + grid[whole].argmin(axis=1)
+        src = np.repeat(spot, n[spot])
+        k = np.arange(len(src)) - np.repeat(np.cumsum(n[spot]) - n[spot], n[spot]) + np.repeat(at[spot], n[spot])
+        both = np.unique(np.stack([self.item[k].astype(np.int64), src - self.pos[k]]), axis=1)
+        return both[0], both[1]
+
+    def grams(self, i: int) -> np.ndarray:
+        """The q-grams of an item, in order of position."""
+        return self.own[self.hoff[i] : self.hoff[i + 1]]
 
 
 def longest_run(x: np.ndarray, y: np.ndarray) -> int:
@@ -70,8 +101,8 @@ def aligned(x: np.ndarray, y: np.ndarray, shift: int, width: int, least: int, ed
             new[miss, 1:] = far[miss, :-1] + (far[miss, :-1] > 0)  # substitution
             drop = np.where(far[:-1, :-1] > 0, far[:-1, :-1] + 1, 0)  # a character of x alone: to the next diagonal
             new[1:, 1:] = np.maximum(new[1:, 1:], drop)
-            for d in range(width - 2, -1, -1):  # a character of y alone: to the diagonal before
-                np.maximum(new[d, 1:], new[d + 1, :-1], out=new[d, 1:])
+            for e in range(1, edits + 1):  # a character of y alone: to the diagonal before, once an edit
+                np.maximum(new[:-1, e], new[1:, e - 1], out=new[:-1, e])
             np.maximum.accumulate(new, axis=1, out=new)
         far = new
         if far.max() >= least:
@@ -80,39 +111,40 @@ def aligned(x: np.ndarray, y: np.ndarray, shift: int, width: int, least: int, ed
 
 
 def regions(index: Index, cp: np.ndarray, h: np.ndarray, q: int, least: int, edits: int) -> list[tuple[int, int]]:
-    """(item, q-grams shared in its best verified band) of one text."""
-    at, item, pos = index.hits(h)
+    """(item, q-grams shared in its best verified band) of one text.
+
+    A stretch with at most `edits` edits has a part without any, of a length that is known; those parts give the diagonals.
+    Around each the shared q-grams are counted in the band of diagonals that the edits can reach, bands with fewer than
+    the lemma's bound are dropped, and the rest is verified."""
     need = max(1, least - q + 1 - q * edits)
-    if len(at) < need:
-        return []
-    width = 2 * edits + 1
-    diag = at.astype(np.int64) - pos
-    low = diag.min() - width
-    # Bands of twice the width, each overlapping its neighbour by one width: any width diagonals lie in one band.
-    cell = (diag - low) // width
-    both = np.concatenate([cell, cell - 1]) if edits else cell
-    items, whose = (np.tile(item, 2), np.tile(np.arange(len(at)), 2)) if edits else (item, np.arange(len(at)))
-    code = items.astype(np.int64) * (int(both.max()) + 2) + (both + 1)
-    keys, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
+    clear = (least - edits) // (edits + 1) - q + 1
+    items, diags = index.candidates(h, clear)
     found: dict[int, int] = {}
-    for k in np.argsort(-count):
-        if count[k] < need:
-            break
-        mine = whose[inverse == k]
-        i = int(item[mine[0]])
-        if i in found:
+    last = (-1, 0)
+    for i, d in zip(items.tolist(), diags.tolist(), strict=True):
+        if i in found or (edits and last[0] == i and d - last[1] < edits):
+            continue  # bands overlap: the next starts before this one's reach ends
+        last = (i, d)
+        own = index.grams(i)
+        # Diagonals d - edits .. d + 2 * edits: all that a stretch through d, or through a diagonal skipped above, can use.
+        low, width = d - edits, 3 * edits + 1
+        shared = np.zeros(len(h), np.int64)
+        for k in range(low, low + width):
+            lo, hi = max(0, k), min(len(h), k + len(own))
+            if hi > lo:
+                shared[lo:hi] += h[lo:hi] == own[lo - k : hi - k]
+        if shared.sum() < need:
             continue
         y = index.cp[index.off[i] : index.off[i + 1]]
         if not edits:
-            d = int(diag[mine[0]])
             lo, hi = max(0, d), min(len(cp), d + len(y))
-            if longest_run(cp[lo:hi], y[lo - d : hi - d]) >= least:
-                found[i] = int(count[k])
+            ok = longest_run(cp[lo:hi], y[lo - d : hi - d]) >= least
         else:
-            d = int(low + (int(keys[k] % (int(both.max()) + 2)) - 1) * width)
-            lo, hi = max(0, int(at[mine].min()) - least - edits), min(len(cp), int(at[mine].max()) + least + edits + q)
-            if aligned(cp[lo:hi], y, d - lo, 2 * width, least, edits):
-                found[i] = int(count[k])
+            spots = np.flatnonzero(shared)
+            lo, hi = max(0, int(spots[0]) - least - edits), min(len(cp), int(spots[-1]) + least + edits + q)
+            ok = aligned(cp[lo:hi], y, low - lo, width, least, edits)
+        if ok:
+            found[i] = int(shared.sum())
     return list(found.items())
 
 
@@ -135,11 +167,11 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     """(doc key, item key, shared) for every document and item that share a stretch of at least `least` letters and
     digits (lower-cased, all else ignored) with at most `edits` edits; shared counts the q-grams of the best band.
 
-    q is 24, or smaller where the edit budget asks for it, so that the lemma's bound stays above 0. Items and documents
+    q is 24, or smaller where the edit budget asks for it, so that the lemma's bound stays above 0 and an unedited part holds a q-gram. Items and documents
     with null, empty or shorter texts never match; an item key that is null or repeated is reported as it is;
     an empty item table gives no rows."""
     q = q or max(4, min(24, least // (edits + 2)))
-    if least - q + 1 - q * edits < 1:
+    if least - q + 1 - q * edits < 1 or (least - edits) // (edits + 1) < q:
         raise ValueError("the edit budget leaves no q-gram to count: choose a smaller q")
     spark = docs.sparkSession
     kinds = [docs.schema[doc_key].dataType, items.schema[item_key].dataType]
@@ -148,7 +180,7 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     out = None
     for ids, texts in item_blocks(items, item_key, item_text):
         block = spark.sparkContext.broadcast((ids, texts))
-        part = source.mapInArrow(scanner(block, q, least, edits, pa_type(kinds[1])), schema)
+        part = source.mapInArrow(scanner(block, uuid.uuid4().hex, q, least, edits, pa_type(kinds[1])), schema)
         out = part if out is None else out.unionAll(part)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnsRenamed({"doc": doc_key, "item": item_key})
@@ -161,9 +193,8 @@ def pa_type(kind: T.DataType) -> pa.DataType:
 _INDEX: dict = {}
 
 
-def scanner(block, q: int, least: int, edits: int, item_type: pa.DataType):
+def scanner(block, name: str, q: int, least: int, edits: int, item_type: pa.DataType):
     def run(batches):
-        name = (block.id if hasattr(block, "id") else id(block), q)
         if name not in _INDEX:
             _INDEX.clear()
             _INDEX[name] = Index(*block.value, q)
