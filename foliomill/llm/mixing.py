@@ -3,9 +3,10 @@
 Method: entropy balancing. Each record gets the rate exp(l * tokens / mean) of
 its source, clipped at the source's cap; l solves the convex dual of the token
 constraint. All sources' Newton steps are one distributed aggregation an
-iteration, over token counts kept from one pass through the texts. Rates
-are rounded into copies systematically, so a source's total is met to within
-a record or so per block.
+iteration, over token counts kept from one pass through the texts. A source
+whose goal is its cap needs no iteration: all its records get the cap. Rates
+are rounded into copies systematically; of PHASES starting points of the
+rounding a source takes the one whose total comes nearest to its goal.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
 from .kernel import passes
+from .neardup import bounded
 
 # Records that one window of the rounding holds, about.
 ROUNDING_BLOCK = 5000
-UNCAPPED = 1e6
+PHASES = 16
+UNCAPPED = float("inf")
+
+# Tilt of a source whose records all get the cap.
+FULL = 1e12
 
 _ENCODERS: dict = {}
 
@@ -76,9 +82,12 @@ def token_goals(sizes: dict[str, float], targets: dict[str, tuple[float, float]]
 def balanced_rates(counts: DataFrame, goals: DataFrame, tolerance: float = 1e-6, rounds: int = 60) -> tuple[DataFrame, int]:
     """(source, l, mean, cap, n) solving sum(min(cap, exp(l * tokens / mean)) * tokens) = goal for every source, and the iterations used.
 
-    goals: (source, goal, cap, mean, n). Newton steps on the dual; the sum grows with l, so a step that leaves the bracket
-    known so far is replaced by its middle. Only one row a source is kept; counts are aggregated before the shuffle."""
-    state = goals.withColumns({"l": F.lit(0.0), "low": F.lit(-60.0), "high": F.lit(60.0), "done": F.lit(False)})
+    goals: (source, goal, cap, mean, n). Newton steps on the dual; the sum grows with l, and the bracket around the solution
+    grows until it holds it. Only one row a source is kept; counts are aggregated before the shuffle."""
+    # A goal at the cap is met by the cap alone: the solution lies at infinity.
+    full = F.col("goal") >= F.col("cap") * F.col("mean") * F.col("n") * (1 - 1e-9)
+    none = F.lit(None).cast("double")
+    state = goals.withColumns({"l": F.when(full, FULL).otherwise(0.0), "low": none, "high": none, "done": full})
     x = F.col("tokens") / F.col("mean")
     for k in range(rounds):
         state = cut(state)
@@ -87,32 +96,43 @@ def balanced_rates(counts: DataFrame, goals: DataFrame, tolerance: float = 1e-6,
         tilt = F.exp(F.least(F.col("l") * x, F.lit(50.0)))
         rate = F.least("cap", tilt)
         sums = (
-            counts.join(F.broadcast(state.select("source", "l", "mean", "cap")), "source")
+            counts.join(bounded(state.filter("not done").select("source", "l", "mean", "cap")), "source")
             .groupBy("source")
             .agg(F.sum(rate * F.col("tokens")).alias("got"), F.sum(F.when(tilt < F.col("cap"), rate * x * F.col("tokens")).otherwise(0.0)).alias("slope"))
         )
-        at = state.join(sums, "source")
+        at = state.join(sums, "source", "left")
         at = at.withColumns({"low": F.when(F.col("got") < F.col("goal"), F.col("l")).otherwise(F.col("low")), "high": F.when(F.col("got") > F.col("goal"), F.col("l")).otherwise(F.col("high"))})
-        step = F.col("l") + (F.col("goal") - F.col("got")) / F.greatest("slope", F.lit(1e-300))
-        middle = (F.col("low") + F.col("high")) / 2
-        new = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle)
-        done = (F.abs(F.col("got") - F.col("goal")) <= tolerance * F.col("goal")) | (F.col("high") - F.col("low") < 1e-12)
+        # A step goes at most as far again as l has come; one that leaves the bracket known so far is replaced by its middle.
+        reach = 4 + F.abs("l")
+        newton = (F.col("goal") - F.col("got")) / F.greatest("slope", F.lit(1e-300))
+        step = F.col("l") + F.least(F.greatest(newton, -reach), reach)
+        inside = (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
+        new = F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
+        done = F.col("done") | (F.abs(F.col("got") - F.col("goal")) <= tolerance * F.col("goal")) | F.coalesce(F.col("high") - F.col("low") < 1e-12, F.lit(False))
         state = at.select("source", "goal", "cap", "mean", "n", F.when(done, F.col("l")).otherwise(new).alias("l"), "low", "high", done.alias("done"))
     return cut(state), rounds
 
 
 def rounded(counts: DataFrame, rates: DataFrame) -> DataFrame:
     """(key, source, tokens, copies): systematic rounding of the rates within blocks of each source, in order of tokens."""
-    own = counts.join(F.broadcast(rates.select("source", "l", "mean", "cap", "n")), "source")
+    own = counts.join(bounded(rates.select("source", "goal", "l", "mean", "cap", "n")), "source")
     rate = F.least("cap", F.exp(F.least(F.col("l") * F.col("tokens") / F.col("mean"), F.lit(50.0))))
     block = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.col("n") / ROUNDING_BLOCK)))
     own = own.withColumns({"rate": rate, "block": block})
     w = Window.partitionBy("source", "block").orderBy("tokens", "key")
-    # A whole cap stays exact; the phase of a block is drawn from its name.
+    # The phase of a block is drawn from its name; a whole cap stays exact.
     phase = F.pmod(F.xxhash64("source", "block"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    upto = F.sum("rate").over(w) + phase
-    copies = F.least(F.floor(upto + 1e-9) - F.floor(upto - F.col("rate") + 1e-9), F.floor(F.col("cap") + 1e-9))
-    return own.select("key", "source", "tokens", copies.cast("int").alias("copies"))
+    placed = cut(own.select("key", "source", "goal", "tokens", "rate", "cap", (F.sum("rate").over(w) + phase).alias("upto")))
+
+    def copies(k) -> Column:
+        at = F.col("upto") + k / F.lit(float(PHASES)) + 1e-9
+        return F.least(F.floor(at) - F.floor(at - F.col("rate")), F.floor(F.col("cap") + 1e-9)).cast("long")
+
+    totals = placed.groupBy("source", "goal").agg(*[F.sum(F.col("tokens") * copies(F.lit(k))).alias(f"t{k}") for k in range(PHASES)])
+    off = lambda k: F.abs(F.col(f"t{k}") - F.col("goal"))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(PHASES)]))["k"]
+    chosen = cut(totals.select("source", best.alias("k")))
+    return placed.join(bounded(chosen), "source").select("key", "source", "tokens", copies(F.col("k")).cast("int").alias("copies"))
 
 
 def mixed(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, ranks_path: str, pattern: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +161,7 @@ def mixed(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, r
         wanted.select("source", F.col("t.w").alias("target_share"), F.when(F.col("t.cap") < UNCAPPED, F.col("t.cap").cast("int")).alias("max_repeat"))
         .join(all_goals, "source", "left")
         .join(reached, "source", "left")
-        .crossJoin(F.broadcast(sum_))  # one row
+        .crossJoin(F.broadcast(sum_))  # an aggregate without keys: one row
         .select("source", "target_share", "max_repeat", F.coalesce("goal_share", F.lit(0.0)).alias("goal_share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"))
     )
     return chosen.withColumnRenamed("key", key), shares
