@@ -21,9 +21,10 @@ from .kernel import codes, passes
 # Bits of a code point, and masks of the last one and two of a packed n-gram.
 BITS = 21
 LAST, LAST2 = (1 << BITS) - 1, (1 << 2 * BITS) - 1
-# Trigrams the stored model may have (12 bytes each when broadcast). All texts are counted; the rarest trigrams beyond
-# this are left to their bigrams, as in any pruned back-off model.
-MOST_TRIGRAMS = 4_000_000
+# N-grams of either order that the stored model may have (12 and 16 bytes each when broadcast); contexts and
+# ends of kept trigrams stay beside them. All texts are counted. Beyond this the rarest are left to the lower order, and the back-off weights
+# are computed anew, so every distribution still sums to 1. Unigrams are at most the characters of Unicode.
+MOST_TRIGRAMS, MOST_BIGRAMS = 4_000_000, 2_000_000
 SPACE, DIGIT = ord(" "), ord("0")
 
 
@@ -70,14 +71,33 @@ def discounts(counts: DataFrame, n: str) -> tuple[float, float, float]:
     return tuple(min(i - 1e-3, max(0.05, i - (i + 1) * y * c[i] / c[i - 1])) for i in (1, 2, 3))
 
 
-def smoothed(grams: DataFrame, n: str, lower: DataFrame, d: tuple[float, float, float], lower_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Interpolated log probabilities (g, lp) of n-grams, and log back-off weights (g, lb) of their contexts."""
-    disc = F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
+def smoothed(grams: DataFrame, lower: DataFrame, d: tuple[float, float, float], lower_bits: int) -> DataFrame:
+    """(g, n, ctx, lp, lp_low): interpolated log probabilities of n-grams (g, n), and those of their ends in the lower order."""
+    disc = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     own = grams.withColumns({"ctx": F.shiftright("g", BITS), "low": F.col("g").bitwiseAND(F.lit(lower_bits))})
-    ctx = own.groupBy("ctx").agg(F.sum(n).alias("s"), F.sum(disc).alias("freed")).select("ctx", "s", (F.col("freed") / F.col("s")).alias("back"))
-    lp = F.log((F.col(n) - disc) / F.col("s") + F.col("back") * F.exp("lp_low"))
-    full = own.join(ctx, "ctx").join(lower.select(F.col("g").alias("low"), F.col("lp").alias("lp_low")), "low").select("g", lp.alias("lp"))
-    return full, ctx.select(F.col("ctx").alias("g"), F.log("back").alias("lb"))
+    ctx = own.groupBy("ctx").agg(F.sum("n").alias("s"), F.sum(disc).alias("freed")).select("ctx", "s", (F.col("freed") / F.col("s")).alias("back"))
+    lp = F.log((F.col("n") - disc) / F.col("s") + F.col("back") * F.exp("lp_low"))
+    return own.join(ctx, "ctx").join(lower.select(F.col("g").alias("low"), F.col("lp").alias("lp_low")), "low").select("g", "n", "ctx", lp.alias("lp"), "lp_low")
+
+
+def most_frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The n-grams with the greatest n, at most `most` of them; those of the last count that fits in part are drawn by their hash."""
+    total = grams.count()
+    if total <= most:
+        return grams
+    # The least count whose n-grams all fit, by bisection: one number a pass comes to the driver.
+    low, high = 1, int(grams.agg(F.max("n")).first()[0]) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if grams.filter(F.col("n") >= mid).count() <= most else (mid, high)
+    room = most - grams.filter(F.col("n") >= high).count()
+    return grams.filter(F.col("n") >= high).unionByName(grams.filter(F.col("n") == low).orderBy(F.xxhash64("g"), "g").limit(room))
+
+
+def back_off(kept: DataFrame) -> DataFrame:
+    """(g, lb): log weights with which the contexts g of kept n-grams (ctx, lp, lp_low) leave what they don't hold to the lower order."""
+    left = lambda c: F.greatest(1 - F.sum(F.exp(c)), F.lit(1e-9))
+    return kept.groupBy(F.col("ctx").alias("g")).agg(F.log(left("lp") / left("lp_low")).alias("lb"))
 
 
 class Model:
@@ -126,18 +146,15 @@ def train(df: DataFrame, text: str) -> Model:
         empty = pa.table({"g": pa.array([], pa.int64()), "lp": pa.array([], pa.float64()), "lb": pa.array([], pa.float64())})
         return Model(empty, empty, empty, 0.0)
     lp1 = uni.select("g", F.log(F.col("n") / F.lit(float(total[0]))).alias("lp"))
-    lp2, lb2 = smoothed(bi, "n", lp1, discounts(bi, "n"), LAST)
-    lp2 = cut(lp2)
-    lp3, lb3 = smoothed(tri, "n", lp2, discounts(tri, "n"), LAST2)
-    # Prune by count until the trigrams fit: the least count that is kept.
-    histogram = sorted(((r[0], r[1]) for r in tri.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()), reverse=True)
-    kept = least = 0
-    for n, c in histogram:
-        if kept + c > MOST_TRIGRAMS:
-            break
-        kept, least = kept + c, n
-    strong = lp3 if least <= 1 else lp3.join(tri.filter(F.col("n") >= least).select("g"), "g", "left_semi")
-    return Model(strong.toArrow(), lp2.join(lb3, "g", "left").toArrow(), lp1.join(lb2, "g", "left").toArrow(), float(-np.log(2.0 * total[0])))
+    two = cut(smoothed(bi, lp1, discounts(bi, "n"), LAST))
+    three = cut(most_frequent(cut(smoothed(tri, two, discounts(tri, "n"), LAST2)), MOST_TRIGRAMS))
+    lb3 = cut(back_off(three))
+    # Contexts and ends of the kept trigrams stay, so that their weights and lower orders are those the model looks up.
+    ends = three.select(F.col("g").bitwiseAND(F.lit(LAST2)).alias("g"))
+    often = cut(most_frequent(two, MOST_BIGRAMS).select("g").unionByName(lb3.select("g")).unionByName(ends).distinct())
+    two_kept = cut(two.join(often.hint("merge"), "g", "left_semi"))
+    stored = two_kept.join(lb3, "g", "left").select("g", "lp", "lb")
+    return Model(three.select("g", "lp").toArrow(), stored.toArrow(), lp1.join(back_off(two_kept), "g", "left").toArrow(), float(-np.log(2.0 * total[0])))
 
 
 def perplexities(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
