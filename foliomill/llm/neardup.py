@@ -9,7 +9,7 @@ by a star contraction whose rounds are checkpointed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from .sketch import SLOTS, compared, covering_keys, packed_texts, plausible, ske
 SMALL_BUCKET = 24
 # Texts of a large bucket's part, on average.
 DIVIDED_BUCKET = 512
+# Edges of a vertex, and copies of a text, from which they are not sent to one task; members of a part of a large class.
+HUB, CLASS_PART = 20_000, 1000
 # Most bytes of a table that is broadcast, as rows in memory; beyond it the join is shuffled.
 BROADCAST_BYTES = 8 << 20
 
@@ -49,16 +51,18 @@ def fetched(pairs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFram
 
 
 def expanded(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): all pairs (a < b) of the buckets of up to `most` rows (bucket, key), and the rows of the larger ones."""
-    w = Window.partitionBy("bucket")
-    ahead = w.orderBy("key").rowsBetween(1, most)
-    counted = keys.withColumn("n", F.count("*").over(w)).filter("n > 1")
-    followers = counted.withColumn("bs", F.collect_list("key").over(ahead))
-    # One pass: pairs of small buckets, and the rows of large ones with no partner.
-    small = F.col("n") <= most
-    rows = followers.select("bucket", "key", "n", F.explode(F.when(small, F.col("bs")).otherwise(F.array(F.lit(None).cast("long")))).alias("b"))
-    rows = cut(rows.select(F.col("key").alias("a"), "b", F.when(~small, F.col("bucket")).alias("bucket")).distinct())
-    return rows.filter("bucket is null").select("a", "b"), rows.filter("bucket is not null").select("bucket", F.col("a").alias("key"))
+    """(pairs, large): all pairs (a < b) of the buckets of up to `most` rows (bucket, key), and the rows of the larger ones.
+
+    Buckets are counted before anything is gathered: one of two texts is its least and greatest key, and only the rows of
+    larger ones are read again. A bucket is gathered into one row only if it has at most `most`."""
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).filter("n > 1")
+    sizes = cut(sizes)
+    two = sizes.filter("n = 2 and a < b").select("a", "b")
+    several = cut(keys.join(bounded(sizes.filter("n > 2").select("bucket", "n")), "bucket"))
+    held = several.filter(F.col("n") <= most).groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.filter("ks", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    small = two.unionByName(held.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
+    return cut(small.distinct()), several.filter(F.col("n") > most).select("bucket", "key")
 
 
 def bucket_pairs(heads: DataFrame, rounds: int, threshold: float) -> DataFrame:
@@ -73,25 +77,38 @@ def large_pairs(large: DataFrame, heads: DataFrame, rounds: int, threshold: floa
 
     A bucket's texts are dealt to parts by a hash, and any two parts meet in one group, so all pairs are compared and no
     task holds more than two parts. Which buckets two texts share is told by their slots: a pair comes out once."""
-    parts = large.groupBy("bucket").agg(F.ceil(F.count("*") / DIVIDED_BUCKET).cast("int").alias("parts"))
-    own = large.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    parts = cut(large.groupBy("bucket").agg(F.ceil(F.count("*") / DIVIDED_BUCKET).cast("int").alias("parts")))
+    own = large.join(bounded(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     met = own.join(heads.select("key", "slots", "bits"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cut(compared(met.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), rounds, threshold))
 
 
+def split_join(edges: DataFrame, about: DataFrame) -> DataFrame:
+    """edges (u, v) with m of about (u, m, n: the edges of u), the edges of hubs by a broadcast of the hubs alone."""
+    about = cut(about)
+    hubs = about.filter(F.col("n") > HUB).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(about.select("u", "m"), "u")
+    few = bounded(cut(hubs))
+    rest = edges.join(few.select("u"), "u", "left_anti").join(about.filter(F.col("n") <= HUB).select("u", "m"), "u")
+    return edges.join(few, "u").unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of the vertices of links (a, b): root is the least key of the component.
 
     Alternating large and small stars; each pair of rounds is checkpointed and pre-aggregates before its shuffle, and
-    no vertex gathers its neighbours into one row."""
+    no vertex gathers its neighbours into one row. The edges of a hub, a vertex with more than HUB of them, stay where they
+    are: what they need to know of it is broadcast, or, past the bound of bounded, joined under adaptive skew handling."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = split_join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = cut(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = cut(small)
         # A fixed point is a set of stars. Equal counts and sums of hashes stand for equal edges.
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -123,19 +140,26 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     links = cut(verified(fetched(candidates, df, key, text), pieces, width, threshold))
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count()
-    classes = (
+    classes = cut(
         heads.select("digest", "key", "copies")
         .join(roots, "key", "left")
         .join(degree, "key", "left")
         .select("digest", F.coalesce("root", "key").alias("class_id"), F.coalesce("count", F.lit(0)).alias("links"), "copies", F.col("root").isNotNull().alias("linked"))
         .filter("linked or copies > 1")
     )
-    members = sk.select("key", "digest").join(classes, "digest").select("key", "class_id", "links")
+    # A text that many records share must not gather them in one task: what is known of such texts goes to the records.
+    rows = sk.select("key", "digest")
+    often = bounded(cut(classes.filter(F.col("copies") > HUB)))
+    rest = rows.join(often.select("digest"), "digest", "left_anti").join(classes.filter(F.col("copies") <= HUB), "digest")
+    members = rows.join(often, "digest").unionByName(rest).select("key", "class_id", "links")
     return members, links
 
 
 def group_pairs(members: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b): all pairs of one group, as p1_found is stated; smaller id first."""
-    a = members.select(F.col("class_id"), F.col("key").alias("record_id_a"))
-    b = members.select(F.col("class_id"), F.col("key").alias("record_id_b"))
-    return a.join(b, "class_id").filter("record_id_a < record_id_b").select("record_id_a", "record_id_b")
+    # The second side of a large class is dealt to parts, and the first goes to each of them: no task pairs a whole class.
+    parts = cut(members.groupBy("class_id").agg(F.ceil(F.count("*") / CLASS_PART).cast("int").alias("parts")).filter("parts > 1"))
+    own = members.select("class_id", "key").join(bounded(parts), "class_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = own.select("class_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("record_id_a"))
+    b = own.select("class_id", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("record_id_b"))
+    return a.join(b, ["class_id", "part"]).filter("record_id_a < record_id_b").select("record_id_a", "record_id_b")
