@@ -11,6 +11,9 @@ them; length evidence of each source and field is added.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,30 +34,41 @@ PAIRS = (("“", "”"), ("（", "）"), ("(", ")"), ("「", "」"), ("《", "
 NUMBERING = re.compile(r"^\s*(?:[（(]\d{1,3}[）)]|\d{1,3}(?:[)）．、]|\.(?!\d)))\s*")
 NUMBER_ONLY = re.compile(r"^\s*[（(]?\d{0,3}[)）．、.]?\s*$")
 TOKEN = re.compile(r"[A-Za-z]+(?:-\d+)?|\d+|[^\sA-Za-z\d]")
-ENDS = "。！？!?；;"
 SLOTS = 6
 
 
+MARK = re.compile(r"[。！？!?；;\n]|\.(?=[\n ]|\Z)")
+
+
 def sentences(value: str) -> list[tuple[str, bool]]:
     """The sentences of a value with their numbering taken off, each with whether a closing mark or a line end follows it."""
     text = value.rstrip().replace("\\n", "\n").replace("...”", "…”").replace('..."', '…"')
     out, start = [], 0
-    for i, c in enumerate(text):
-        ends = c in ENDS or c == "\n" or (c == "." and (i + 1 == len(text) or text[i + 1] in "\n ") and not NUMBER_ONLY.match(text[start : i + 1]))
-        if ends:
-            body = NUMBERING.sub("", text[start:i]).strip()
-            if body:
-                # A line that ends without a mark is whole as well: cuts stand at the end of a value.
-                out.append((body, True))
-            start = i + 1
+    for m in MARK.finditer(text):
+        i = m.start()
+        if text[i] == "." and NUMBER_ONLY.match(text[start : i + 1]):
+            continue
+        body = NUMBERING.sub("", text[start:i]).strip()
+        if body:
+            # A line that ends without a mark is whole as well: cuts stand at the end of a value.
+            out.append((body, True))
+        start = i + 1
     if text[start:].strip():
         out.append((NUMBERING.sub("", text[start:]).strip(), False))
     return out
 
 
-def tokens(sentence: str) -> list[str]:
-    """Words, single other characters; numbers, and the number behind a code's letters, as 0."""
-    return ["0" if t[0].isdigit() else re.sub(r"-\d+$", "-0", t) for t in TOKEN.findall(sentence)]
+CODE = re.compile(r"-\d+$")
+
+
+def normal(token: str) -> str:
+    """Numbers, and the number behind a code's letters, as 0."""
+    return "0" if token[0].isdigit() else CODE.sub("-0", token)
+
+
+@lru_cache(maxsize=1 << 18)
+def token_hash(token: str) -> int:
+    return stable_hash(normal(token).lower())
 
 
 def open_pair(sentence: str) -> bool:
@@ -83,14 +97,20 @@ def position_keys(tok: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def word_key(word: str) -> int:
-    return int(mix(np.array([stable_hash("w " + word.lower())], U))[0])
+    """Key of a trie node; the lowest bit is set, as in all keys."""
+    return stable_hash("w " + word.lower()) | 1
 
 
 def flat(sents: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    toks = [tokens(s) or ["?"] for s in sents]
+    """Hashes of all sentences' tokens (words, single other characters), the sentences' offsets, and the raw tokens."""
+    toks = [TOKEN.findall(s) or ["?"] for s in sents]
     off = np.zeros(len(sents) + 1, np.int64)
     np.cumsum([len(t) for t in toks], out=off[1:])
-    return np.fromiter((stable_hash(t.lower()) for w in toks for t in w), U, int(off[-1])), off, toks
+    return np.fromiter(map(token_hash, chain.from_iterable(toks)), U, int(off[-1])), off, toks
+
+
+def is_word(token: str) -> bool:
+    return token[0].isalpha() and token.isascii()
 
 
 def node_counts(values: DataFrame) -> DataFrame:
@@ -104,23 +124,24 @@ def node_counts(values: DataFrame) -> DataFrame:
                 continue
             tok, off, toks = flat(whole)
             keys = position_keys(tok, off)
-            last = np.zeros(len(tok), bool)
-            last[off[1:] - 1] = True
-            words: dict[str, int] = {}
-            for w in toks:
-                for t in w:
-                    if t[0].isalpha() and t.isascii():
-                        words[t.lower()] = words.get(t.lower(), 0) + 1
+            last = np.zeros(len(tok), U)
+            last[off[1:] - 1] = 1
+            # A key's lowest bit tells whether its sentence ends there, so one sort counts both cases.
+            both, n = np.unique((keys | U(1)) ^ (U(1) - last)[:, None], return_counts=True)
+            words: Counter = Counter()
+            for w, c in Counter(chain.from_iterable(toks)).items():
+                if is_word(w):
+                    words[normal(w).lower()] += c
             nodes: dict[str, list[int]] = {}
             for w, c in words.items():
                 for k in range(1, len(w) + 1):
                     node = nodes.setdefault(w[:k], [0, 0])
                     node[k < len(w)] += c
-            key = np.concatenate([keys.T.ravel(), np.fromiter((word_key(w) for w in nodes), U, len(nodes))])
-            e = np.concatenate([np.tile(last, keys.shape[1]).astype(np.int64), np.fromiter((x[0] for x in nodes.values()), np.int64, len(nodes))])
-            i = np.concatenate([np.tile(~last, keys.shape[1]).astype(np.int64), np.fromiter((x[1] for x in nodes.values()), np.int64, len(nodes))])
-            u, inverse = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inverse, e).astype(np.int64)), pa.array(np.bincount(inverse, i).astype(np.int64))], names=["key", "e", "i"])
+            end = (both & U(1)).astype(np.int64) * n
+            key = np.concatenate([both | U(1), np.fromiter(map(word_key, nodes), U, len(nodes))])
+            e = np.concatenate([end, np.fromiter((x[0] for x in nodes.values()), np.int64, len(nodes))])
+            i = np.concatenate([n - end, np.fromiter((x[1] for x in nodes.values()), np.int64, len(nodes))])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e), pa.array(i)], names=["key", "e", "i"])
 
     return values.mapInArrow(run, "key long, e long, i long").groupBy("key").agg(F.sum("e").alias("e"), F.sum("i").alias("i"))
 
@@ -134,12 +155,16 @@ def asked(rows: DataFrame, extra: list[str]) -> DataFrame:
             if not sents:
                 continue
             tok, off, toks = flat(sents)
-            keys = position_keys(tok, off)[off[1:] - 1]
-            word = np.array([word_key(t[-1]) if t[-1][0].isalpha() and t[-1].isascii() else 0 for t in toks], U)
+            keys = position_keys(tok, off)[off[1:] - 1] | U(1)
+            words = np.array([is_word(t[-1]) for t in toks])
+            word = np.array([word_key(normal(t[-1])) if w else 0 for t, w in zip(toks, words, strict=True)], U)
             keys = np.concatenate([keys, word[:, None]], axis=1)
             n = len(sents)
-            shape = np.array([open_pair(s) + 2 * (t[-1] == "0") + 4 * (bool(t[-1][0].isalpha() and t[-1].isascii())) + 8 * min(len(t), 60) for s, t in zip(sents, toks, strict=True)], np.int32)
-            cols = [pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), SLOTS)), pa.array(np.tile(np.arange(SLOTS, dtype=np.int32), n)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(shape, SLOTS))]
+            shape = np.array([open_pair(s) + 2 * (t[-1][0].isdigit()) + 4 * bool(w) + 8 * min(len(t), 60) for s, t, w in zip(sents, toks, words, strict=True)], np.int32)
+            # A sentence that doesn't end in a word has no node to ask for: its key is null and joins nothing.
+            none = np.zeros((n, SLOTS), bool)
+            none[:, -1] = ~words
+            cols = [pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), SLOTS)), pa.array(np.tile(np.arange(SLOTS, dtype=np.int32), n)), pa.array(keys.ravel().view(np.int64), mask=none.ravel()), pa.array(np.repeat(shape, SLOTS))]
             take = pa.array(np.repeat(np.arange(n), SLOTS))
             yield pa.RecordBatch.from_arrays(cols + [b.column(2 + k).take(take) for k in range(len(extra))], names=["id", "slot", "key", "shape", *extra])
 
@@ -150,9 +175,10 @@ def asked(rows: DataFrame, extra: list[str]) -> DataFrame:
 
 def featured(rows: DataFrame, nodes: DataFrame, extra: list[str]) -> DataFrame:
     """(id, shape, counts, *extra): counts holds for each slot how often its context ended and went on."""
-    hit = asked(rows, extra).join(nodes, "key", "left")
-    counts = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("i", F.lit(0)).alias("i"))))  # SLOTS entries
-    return hit.groupBy("id", "shape", *extra).agg(counts.alias("counts")).select("id", "shape", F.flatten(F.transform("counts", lambda x: F.array(x["e"], x["i"]))).alias("counts"), *extra)
+    hit = asked(rows, extra).filter("key is not null").join(nodes, "key", "left")
+    sums = [F.sum(F.when(F.col("slot") == k, F.col(c))).alias(f"{c}{k}") for k in range(SLOTS) for c in ("e", "i")]
+    each = F.array(*[F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in range(SLOTS) for c in ("e", "i")])
+    return hit.groupBy("id", "shape", *extra).agg(*sums).select("id", "shape", each.alias("counts"), *extra)
 
 
 def features(counts: np.ndarray, shape: np.ndarray) -> np.ndarray:
@@ -182,8 +208,8 @@ def trained(values: DataFrame, nodes: DataFrame) -> Booster:
                             labels += [0, 1]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sents, pa.string()), pa.array(labels, pa.int32())], names=["id", "sentence", "label"])
 
-    n = max(1, values.count())
-    some = values.sample(min(1.0, SAMPLE / n), seed=11).limit(SAMPLE)
+    # About SAMPLE distinct values, drawn by their hash.
+    some = values.filter(F.pmod(F.xxhash64("value"), F.lit(max(1, values.count() // SAMPLE))) == 0).distinct()
     rows = some.mapInArrow(run, "id long, sentence string, label int").dropDuplicates(["id"]).orderBy(F.xxhash64("id")).limit(2 * SAMPLE)
     got = featured(cut(rows), nodes, ["label"]).toArrow()
     if not got.num_rows:
