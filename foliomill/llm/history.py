@@ -1,16 +1,19 @@
 """Problem 2: check each new batch against everything accepted, without reprocessing the history.
 
 Method: multi-key sorted-neighbourhood runs. A text has several sort keys, each
-of four min-hash slots. The history keeps them as runs sorted within key ranges;
-a batch is sorted the same way, and only the windows of entries whose key equals a
-new record's are compared. Each batch adds a run; runs are compacted when
-there are many. A manifest names the runs that count, so a batch that fails
-leaves the history as it was.
+of four min-hash slots, and its digest as one more. The history keeps the keys
+as runs, sorted and cut into key ranges of bounded size; a batch is sorted the
+same way, opens only the ranges that its keys fall in, and compares only the
+windows of entries around its own. Sketches and compressed texts lie apart, in
+buckets of bounded size, of which only those with candidates are opened. Each
+batch adds a run; runs are compacted when there are many. A manifest names the
+runs that count, so a batch that fails leaves the history as it was.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 import numpy as np
@@ -21,39 +24,60 @@ from pyspark.sql import functions as F
 from ..session import cut, cuts_held, drop_path, release, scratch
 from .kernel import U
 from .neardup import bounded
-from .sketch import MASKS, SLOTS, plausible, sketches, verified
+from .sketch import MASKS, SLOTS, plausible, sketches, verified, window_pairs
 
-# Runs that may lie side by side before they are merged into one.
+# Runs that may lie side by side before they are merged.
 MOST_RUNS = 4
+# Entries of a key range and records of a bucket, at most on average, up to 2^MOST_BITS ranges and buckets a run.
+RANGE_ROWS, BUCKET_ROWS, MOST_BITS = 1 << 18, 1 << 13, 12
+# A sort key: its number in the 6 highest bits, then four slots of SLOT_BITS bits. The last number is that of digests.
+SLOT_BITS, DIGEST = 14, 63
 
+# Entries of a window that are simply paired with the new records, and those of a part of a larger window, on average.
+SMALL_WINDOW, WINDOW_PART = 64, 512
 
-def sort_keys(df: DataFrame, rounds: int) -> DataFrame:
-    """(ord, k, key): the sort keys of each row of (key, slots). k holds four slots of 16 bits, the first in the highest
-    bits, so neighbours in sorted order agree on their leading slots."""
+KEYS = "k long, low long, key long"
+RECORDS = "key long, bits binary, packed binary"
+
+
+def sort_keys(heads: DataFrame, rounds: int) -> DataFrame:
+    """(k, low, key): the sort keys of each row of (key, digest, slots), and its digest as a key, whose other half is low (else null).
+
+    Neighbours in sorted order agree on the key's number and their leading slots."""
+    if rounds * len(MASKS) > DIGEST:
+        raise ValueError("too many keys for the 6 bits of their number")
 
     def run(batches):
         for b in batches:
             n = len(b)
             if not n:
                 continue
-            rows = (np.frombuffer(b"".join(b.column("slots").to_pylist()), np.uint32).reshape(n, -1)[:, : rounds * SLOTS] & 0xFFFF).astype(U)
+            rows = (np.frombuffer(b"".join(b.column("slots").to_pylist()), np.uint32).reshape(n, -1)[:, : rounds * SLOTS] & ((1 << SLOT_BITS) - 1)).astype(U)
             keys = []
             for r in range(rounds):
                 for mask in MASKS:
-                    k = np.zeros(n, U)
+                    k = np.full(n, U(len(keys)))
                     for s in mask:
-                        k = (k << U(16)) | rows[:, r * SLOTS + s]
-                    keys.append(k)
+                        k = (k << U(SLOT_BITS)) | rows[:, r * SLOTS + s]
+                    keys.append(k << U(64 - 6 - 4 * SLOT_BITS))
+            digest = np.frombuffer(b"".join(b.column("digest").to_pylist()), U).reshape(n, 2)
+            keys.append((U(DIGEST) << U(58)) | (digest[:, 0] >> U(6)))
             count = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(count, dtype=np.int16), n)), pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([b.column("key")] * count)], names=["ord", "k", "key"]
-            )
+            low = pa.concat_arrays([pa.nulls((count - 1) * n, pa.int64()), pa.array(digest[:, 1].view(np.int64))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), low, pa.concat_arrays([b.column("key")] * count)], names=["k", "low", "key"])
+
+    return heads.select("key", "digest", "slots").mapInArrow(run, KEYS)
 
-    return df.select("key", "slots").mapInArrow(run, "ord short, k long, key long")
+
+def part_of(run: dict, at: str):
+    """Number of the key range, or of the bucket, of a run's row: at is 'k' or 'key'."""
+    if at == "k":
+        return F.shiftrightunsigned("k", 64 - run["bits"]).cast("int") if run["bits"] else F.lit(0)
+    return F.pmod(F.xxhash64("key"), F.lit(1 << run["bits"])).cast("int")
 
 
 class History:
-    """Accepted records: sorted key runs, and digests, sketches and compressed texts by record."""
+    """Accepted records: sorted key runs, and sketches and compressed texts by record."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, threshold: float = 0.8, pieces: str = "words", width: int = 5, rounds: int = 6):
         self.spark, self.path = spark, path or scratch(spark, "history")
@@ -62,6 +86,7 @@ class History:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._Path(f"{self.path}/manifest"))
+        self.opened = 0  # bytes of the history's files that the last batch had to open
 
     # -- manifest -------------------------------------------------------------------------------------------------
 
@@ -69,25 +94,55 @@ class History:
         return sorted(s.getPath().toString() for s in self._fs.listStatus(self._Path(f"{self.path}/manifest")) if s.getPath().getName().endswith(".json"))
 
     def runs(self) -> dict:
-        """The runs that count: paths of key runs and of record runs, and the batches taken in."""
+        """The runs that count: of keys and of records, each with path, bits, rows and parts; the batches taken in; and the
+        paths that the last compaction replaced."""
         done = self._manifests()
         if not done:
-            return {"keys": [], "records": [], "batches": []}
+            return {"keys": [], "records": [], "batches": [], "replaced": []}
         read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._Path(done[-1])), "UTF-8")
         return json.loads(read)
 
     def _commit(self, runs: dict) -> None:
-        out = self._fs.create(self._Path(f"{self.path}/manifest/{len(self._manifests()):09d}.json"), False)
+        """A manifest appears whole, under its name, or not at all."""
+        name = f"{self.path}/manifest/{len(self._manifests()):09d}"
+        temporary = f"{name}.{uuid.uuid4().hex}.new"
+        out = self._fs.create(self._Path(temporary), False)
         out.write(bytearray(json.dumps(runs).encode()))
         out.close()
+        if self._fs.exists(self._Path(f"{name}.json")) or not self._fs.rename(self._Path(temporary), self._Path(f"{name}.json")):
+            raise RuntimeError("another batch was committed meanwhile: take this one again")
 
-    # -- batches ----------------------------------------------------------------------------------------------------
+    # -- runs -------------------------------------------------------------------------------------------------------
+
+    def _write(self, df: DataFrame, at: str, rows: int) -> dict:
+        """Write a run: rows of one range (at 'k') or bucket (at 'key') in one folder; keys are sorted."""
+        most = RANGE_ROWS if at == "k" else BUCKET_ROWS
+        run = {"path": f"{self.path}/{'keys' if at == 'k' else 'records'}/{uuid.uuid4().hex}", "bits": min(MOST_BITS, max(0, math.ceil(math.log2(max(1, rows) / most)))), "rows": rows}
+        own = df.withColumn("part", part_of(run, at))
+        if at == "k":
+            own = own.repartitionByRange("part", "k").sortWithinPartitions("part", "k")
+        elif run["bits"]:
+            own = own.repartition("part")
+        own.write.partitionBy("part").option("compression", "zstd").parquet(run["path"])
+        folders = [s.getPath() for s in self._fs.listStatus(self._Path(run["path"])) if s.getPath().getName().startswith("part=")]
+        run["parts"] = {p.getName().removeprefix("part="): self._fs.getContentSummary(p).getLength() for p in folders}
+        return run
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
+    def _read(self, runs: list[dict], schema: str, parts: set[int] | None = None, at: str = "k") -> DataFrame:
+        """The runs' rows; parts: only the ranges or buckets that these numbers of the finest division fall in."""
+        paths = []
+        for run in runs:
+            wanted = None if parts is None else {str(p >> (MOST_BITS - run["bits"]) if at == "k" else p % (1 << run["bits"])) for p in parts}
+            names = [n for n in run["parts"] if wanted is None or n in wanted]
+            paths += [f"{run['path']}/part={n}" for n in names]
+            self.opened += sum(run["parts"][n] for n in names) if parts is not None else 0
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    KEYS = "ord short, k long, key long"
-    RECORDS = "key long, digest binary, slots binary, bits binary, packed binary"
+    def _touched(self, df: DataFrame, at: str) -> set[int]:
+        """Numbers of the finest division that df's keys fall in: at most 2^MOST_BITS come to the driver."""
+        return {r[0] for r in df.select(part_of({"bits": MOST_BITS}, at)).distinct().collect()}
+
+    # -- batches ----------------------------------------------------------------------------------------------------
 
     def take(self, batch: DataFrame, key: str, text: str, name: str | None = None, compare: bool = True) -> DataFrame | None:
         """Add a batch; returns (key) of its records linked to any accepted record or to one of the batch with a smaller key.
@@ -99,77 +154,95 @@ class History:
         runs, held = self.runs(), cuts_held()
         if name is not None and name in runs["batches"]:
             return None
-        number = len(self._manifests())
-        new_keys, new_records = f"{self.path}/keys/{number:09d}-{uuid.uuid4().hex[:8]}", f"{self.path}/records/{number:09d}-{uuid.uuid4().hex[:8]}"
-        # One pass over the batch's texts; they are written where they are and never cross a shuffle.
-        sketches(batch, key, text, self.pieces, self.width, self.rounds * SLOTS, pack=True).write.option("compression", "zstd").parquet(new_records)
-        mine, old = self._read([new_records], self.RECORDS), self._read(runs["records"], self.RECORDS)
-        heads = cut(mine.groupBy("digest").agg(F.min("key").alias("key")))
-        linked, fresh = None, heads
+        self.opened = 0
+        # One pass over the batch's texts.
+        sketched = sketches(batch, key, text, self.pieces, self.width, self.rounds * SLOTS, pack=True)
+        records = self._write(sketched, "key", batch.filter(F.col(text).isNotNull()).count())
+        mine = self._read([records], f"{RECORDS}, digest binary, slots binary")
+        heads = mine.groupBy("digest").agg(F.min_by(F.struct("key", "slots"), "key").alias("h")).select("digest", "h.*")
+        fresh = entries = cut(sort_keys(heads, self.rounds))
         if compare:
-            # A text known to the history needs no second entry among the keys.
-            seen = cut(old.select("digest").join(bounded(heads.select("digest")), "digest", "left_semi").distinct())
-            fresh = cut(heads.join(seen, "digest", "left_anti"))
-        keys = sort_keys(mine.select("key", "slots").join(bounded(fresh.select("key")), "key", "left_semi"), self.rounds)
-        self._sorted(keys).write.option("compression", "zstd").parquet(new_keys)
-        if compare:
-            linked = cut(self._linked(mine, old, heads, seen, runs["keys"], new_keys))
-            release(self.spark, since=held, keep=1)  # all but the result
-        self._commit({"keys": [*runs["keys"], new_keys], "records": [*runs["records"], new_records], "batches": [*runs["batches"], *([name] if name is not None else [])]})
-        if len(runs["keys"]) >= MOST_RUNS:
+            # A text known to the history is linked, and needs no second entry among the keys.
+            digests = cut(entries.filter("low is not null"))
+            old = self._read(runs["keys"], KEYS, self._touched(digests, "k")).filter("low is not null").select("k", F.col("low").alias("other"))
+            seen = cut(old.join(bounded(digests), "k").filter("low = other").select("key").distinct())
+            fresh = entries.join(bounded(seen), "key", "left_anti")
+        keys = self._write(fresh, "k", fresh.count())
+        linked = cut(self._linked(mine.select("key"), runs, keys, records)) if compare else None
+        release(self.spark, since=held, keep=int(compare))  # all but the result
+        grown = runs | {"keys": [*runs["keys"], keys], "records": [*runs["records"], records], "batches": [*runs["batches"], *([name] if name is not None else [])]}
+        self._commit(grown)
+        if len(grown["keys"]) > MOST_RUNS:
             self.compact()
         return linked
 
-    def _sorted(self, keys: DataFrame) -> DataFrame:
-        """Key ranges: rows of one range of (ord, k) to one file, sorted, so row groups outside a window are skipped."""
-        return keys.repartitionByRange("ord", "k").sortWithinPartitions("ord", "k")
+    def _linked(self, mine: DataFrame, runs: dict, keys: dict, records: dict) -> DataFrame:
+        """(key) of the batch's linked records: all but the first of each new text that no window links."""
+        new = self._read([keys], KEYS).filter("low is null").select("k", F.col("key").alias("b"))
+        old = self._read(runs["keys"], KEYS, self._touched(new, "k")).filter("low is null").select("k", F.col("key").alias("a"))
+        # First the edges of each window, found before anything is paired: a hot key costs two rows.
+        by_key = bounded(new)
+        ends = old.join(bounded(new.select("k")), "k", "left_semi").groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("k", F.explode(F.array("lo", "hi")).alias("a"))
+        own_ends = new.groupBy("k").agg(F.min("b").alias("a"))
+        edges = cut(ends.join(by_key, "k").select("a", "b").unionByName(own_ends.join(by_key, "k").filter("a < b").select("a", "b")).distinct())
+        first = cut(self._confirmed(edges, runs, records).select("b").distinct())
+        # Then, of the records not linked yet, the whole windows.
+        left = cut(new.join(bounded(first), "b", "left_anti"))
+        rest = cut(self._whole(left, old, new, runs, records).join(edges.hint("merge"), ["a", "b"], "left_anti"))
+        linked = first if rest.isEmpty() else first.unionByName(self._confirmed(rest, runs, records).select("b")).distinct()
+        alone = cut(left.select(F.col("b").alias("key")).distinct().join(linked.withColumnRenamed("b", "key").hint("merge"), "key", "left_anti"))
+        return mine.join(bounded(alone), "key", "left_anti")
+
+    def _whole(self, left: DataFrame, old: DataFrame, new: DataFrame, runs: dict, records: dict) -> DataFrame:
+        """(a, b): every entry a in the windows of the records b of left (k, b).
+
+        A window of more than SMALL_WINDOW entries is dealt to parts; each part meets the new records in one group, which
+        only gives the pairs that the sketches leave possible. So a hot window is never one task, nor written out as pairs."""
+        asked = bounded(left.select("k"))
+        near = old.select("k", "a", F.lit(True).alias("old")).unionByName(new.select("k", F.col("b").alias("a"), F.lit(False).alias("old"))).join(asked, "k", "left_semi")
+        near = cut(near)
+        hot = cut(near.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL_WINDOW).select("k", F.ceil(F.col("n") / WINDOW_PART).cast("int").alias("parts")))
+        few = near.join(bounded(hot.select("k")), "k", "left_anti").join(bounded(left), "k").filter("old or a < b").select("a", "b")
+        if hot.isEmpty():
+            return few.distinct()
+        mine = self._read([records], RECORDS).select("key", "bits")
+        members = near.join(bounded(hot), "k")
+        wanted = cut(members.select(F.col("a").alias("key")).distinct())
+        bits = self._read(runs["records"], RECORDS, self._touched(wanted, "key"), "key").select("key", "bits").unionByName(mine)
+        sides = members.select("k", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("key"), F.when(F.col("old"), 0).otherwise(1).alias("side"))
+        asking = left.join(bounded(hot), "k").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("key"), F.lit(2).alias("side"))
+        met = sides.unionByName(asking).join(bits.hint("merge"), "key")
+        return few.unionByName(window_pairs(met, self.threshold)).distinct()
+
+    def _confirmed(self, pairs: DataFrame, runs: dict, records: dict) -> DataFrame:
+        """(a, b, similarity) of the pairs at or above the threshold: by sketch, then exactly. Opens the buckets with candidates."""
+        wanted = cut(pairs.select(F.col("a").alias("key")).distinct())
+        old = self._read(runs["records"], RECORDS, self._touched(wanted, "key"), "key")
+        mine = self._read([records], RECORDS)
+        left = old.unionByName(mine).join(bounded(wanted), "key", "left_semi")
+        both = pairs.select("a", "b").join(left.withColumnsRenamed({"key": "a", "bits": "bits_a", "packed": "packed_a"}), "a")
+        both = both.join(mine.withColumnsRenamed({"key": "b", "bits": "bits_b", "packed": "packed_b"}), "b")
+        return verified(plausible(both, self.threshold), self.pieces, self.width, self.threshold)
 
     def compact(self) -> None:
-        """Merge the key runs into one; readers of the old manifest keep their files until the next compaction."""
+        """Merge runs, of keys and of records. The first run, which holds nearly all, is only rewritten once those behind it hold a
+        quarter of its rows: each row is written a logarithmic number of times. Replaced files stay until the next compaction,
+        so a reader of the old manifest can finish."""
         runs = self.runs()
-        if len(runs["keys"]) < 2:
+        grown, replaced = dict(runs), []
+        for kind, at, schema in (("keys", "k", KEYS), ("records", "key", RECORDS)):
+            own = runs[kind]
+            first = 0 if own and sum(r["rows"] for r in own[1:]) >= own[0]["rows"] / 4 else 1
+            if len(own) - first < 2:
+                continue
+            merged = own[first:]
+            grown[kind] = [*own[:first], self._write(self._read(merged, schema), at, sum(r["rows"] for r in merged))]
+            replaced += [r["path"] for r in merged]
+        if not replaced:
             return
-        # The base run is only rewritten once the runs behind it hold a fair share of its rows: amortised log writes.
-        number = len(self._manifests())
-        path = f"{self.path}/keys/{number:09d}"
-        sizes = [self._fs.getContentSummary(self._Path(p)).getLength() for p in runs["keys"]]
-        first = 0 if sum(sizes[1:]) >= sizes[0] / 4 else 1
-        merged, kept = runs["keys"][first:], runs["keys"][:first]
-        self._sorted(self._read(merged, self.KEYS)).write.option("compression", "zstd").parquet(path)
-        self._commit(runs | {"keys": [*kept, path]})
-        for p in merged:
-            drop_path(self.spark, p)
-
-    def _linked(self, mine: DataFrame, old: DataFrame, heads: DataFrame, seen: DataFrame, runs: list[str], new_run: str) -> DataFrame:
-        own = mine.select("key", "digest")
-        copies = own.join(seen, "digest", "left_semi").select("key")
-        repeated = own.join(heads.select("digest", F.col("key").alias("head")), "digest").filter("key != head").select("key")
-        new_keys = self._read([new_run], self.KEYS)
-        few = bounded(new_keys.withColumnRenamed("key", "b"))
-        entries = self._read(runs, self.KEYS).select("ord", "k", F.col("key").alias("a"), F.lit(True).alias("old"))
-        entries = entries.unionByName(new_keys.select("ord", "k", F.col("key").alias("a"), F.lit(False).alias("old")))
-        window = entries.join(few, ["ord", "k"]).filter("old or a < b")
-        window = cut(window.groupBy("a", "b").agg(F.min("ord").alias("ord")))
-        # First the window's edges, at most two entries a key; then, of the records not linked yet, the whole window.
-        edges = cut(window.groupBy("b", "ord").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("b", F.explode(F.array("lo", "hi")).alias("a")).select("a", "b").distinct())
-        data = old.select("key", "bits", "packed").unionByName(mine.select("key", "bits", "packed"))
-        first = cut(self._confirmed(edges, data).select("b").distinct())
-        rest = cut(window.select("a", "b").join(first, "b", "left_anti").join(edges, ["a", "b"], "left_anti"))
-        out = copies.unionByName(repeated).unionByName(first.withColumnRenamed("b", "key"))
-        if not rest.isEmpty():
-            out = out.unionByName(self._confirmed(rest, data).select(F.col("b").alias("key")))
-        return out.distinct()
-
-    def _confirmed(self, pairs: DataFrame, data: DataFrame) -> DataFrame:
-        """(a, b, similarity) of the pairs at or above the threshold: by sketch, then exactly."""
-        needed = bounded(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        own = cut(data.join(needed, "key", "left_semi"))
-        bits = own.select("key", "bits")
-        weighed = pairs.select("a", "b").join(bits.withColumnsRenamed({"key": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"key": "b", "bits": "bits_b"}), "b")
-        likely = plausible(weighed, self.threshold)
-        packed = own.select("key", "packed")
-        texts = likely.join(packed.withColumnsRenamed({"key": "a", "packed": "packed_a"}), "a").join(packed.withColumnsRenamed({"key": "b", "packed": "packed_b"}), "b")
-        return verified(texts, self.pieces, self.width, self.threshold)
+        self._commit(grown | {"replaced": replaced})
+        for path in runs["replaced"]:
+            drop_path(self.spark, path)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)

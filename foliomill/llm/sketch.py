@@ -155,6 +155,26 @@ def compared(df: DataFrame, rounds: int, threshold: float) -> DataFrame:
     return df.select("bucket", "i", "j", "part", "key", "slots", "bits").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def window_pairs(df: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): of each group (k, part) the pairs of an entry (side 0 old, side 1 of the batch) and an asking record (side 2)
+    that the sketches leave possible; an entry of the batch must have the smaller key. df: (k, part, key, side, bits)."""
+
+    def run(t):
+        key, side = t.column("key").to_numpy(), t.column("side").to_numpy()
+        bits = grid(t.column("bits").to_pylist())
+        entries, asking = np.flatnonzero(side < 2), np.flatnonzero(side == 2)
+        out = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(asking), 64):
+            x, y = np.nonzero(likely(bits[asking[lo : lo + 64], None], bits[None, entries], threshold))
+            a, b = entries[y], asking[lo + x]
+            ok = (side[a] == 0) | (key[a] < key[b])
+            out.append(np.stack([key[a[ok]], key[b[ok]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return df.select("k", "part", "key", "side", "bits").groupBy("k", "part").applyInArrow(run, "a long, b long")
+
+
 def plausible(pairs: DataFrame, threshold: float, left: str = "bits_a", right: str = "bits_b") -> DataFrame:
     """Drop the pairs whose one-bit sketches rule the threshold out."""
 

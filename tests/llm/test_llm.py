@@ -143,7 +143,44 @@ def test_a_committed_batch_is_not_taken_twice(spark, tmp_path):
     assert h.take(df, "id", "t", "one") is None
     for k in range(5):
         h.take(spark.createDataFrame([(10 + k, text(30, random.Random(10 + k)))], "id long, t string"), "id", "t", f"b{k}")
-    assert len(h.runs()["keys"]) <= history.MOST_RUNS + 1 and len(h.runs()["records"]) == 6
+    runs = h.runs()
+    assert len(runs["keys"]) <= history.MOST_RUNS and len(runs["records"]) <= history.MOST_RUNS
+    assert sum(r["rows"] for r in runs["records"]) == 6 and len(runs["batches"]) == 6
+
+
+def test_a_batch_opens_a_bounded_part_of_the_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "RANGE_ROWS", 32)
+    monkeypatch.setattr(history, "BUCKET_ROWS", 4)
+    rng = random.Random(23)
+    texts = [text(30, rng) for _ in range(160)]
+    opened = []
+    for n in (40, 160):
+        h = history.History(spark, f"file://{tmp_path}/h{n}", 0.6, "chars", 5)
+        h.take(spark.createDataFrame([(k, texts[k]) for k in range(n)], "id long, t string"), "id", "t", "old", compare=False)
+        whole = sum(sum(r["parts"].values()) for kind in ("keys", "records") for r in h.runs()[kind])
+        got = h.take(spark.createDataFrame([(900, edited(texts[7], 1, rng))], "id long, t string"), "id", "t", "new")
+        assert [r.key for r in got.collect()] == [900]
+        opened.append((h.opened, whole))
+    (few, small), (more, large) = opened
+    assert large > 3 * small and more < 1.6 * few and more < large / 2
+
+
+def test_hot_windows_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(history, "SMALL_WINDOW", 4)
+    monkeypatch.setattr(history, "WINDOW_PART", 5)
+    rng = random.Random(29)
+    stock = text(60, rng)
+    # All share a stock of text, so they fall in the same windows, but only some are near each other.
+    rows = [(k, stock + " " + text(45, rng)) for k in range(30)]
+    new = [(100 + k, 1 + k % 2, edited(rows[k * 3][1], 2, rng) if k % 2 else stock + " " + text(45, rng)) for k in range(10)]
+    got = history.batch_duplicates(spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame(new, "id long, b int, t string"), "id", "t", "b", 0.6, "chars", 5)
+    order = {k: (b, k) for k, b, _ in new}
+    want = set()
+    for k, b, t in new:
+        s = pieces(t)
+        earlier = [x for _, x in rows] + [x for j, _, x in new if order[j] < order[k]]
+        want |= {k} if any(len(s & o) >= 0.6 * len(s | o) for o in map(pieces, earlier)) else set()
+    assert {r.id for r in got.collect()} == want and 0 < len(want)
 
 
 def test_repeated_lines(spark):
