@@ -14,58 +14,71 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import cut, scratch
 
-# Sequence numbers per block of the two-level interval build and of range joins.
-BLOCK = 1 << 16
 
+def ranged(edges: DataFrame) -> DataFrame:
+    """(at, a, p, x, pid): the edges summed by place and sorted into ranges of places; pid numbers the ranges in their order."""
+    own = edges.groupBy("at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.max("x").alias("x"))
+    return cut(own.repartitionByRange("at").withColumn("pid", F.spark_partition_id()))
 
-def intervals(df: DataFrame, seq: str) -> DataFrame:
-    """(first, last): the distinct numbers of seq as disjoint, maximal closed intervals; nulls are left out.
 
-    Islands are found within blocks of numbers, in parallel; only each block's islands at its edges are then joined
-    over a window with one or two rows a block."""
-    own = df.select(F.col(seq).cast("long").alias("n")).filter("n is not null").distinct().withColumn("block", F.floor(F.col("n") / BLOCK))
-    row = F.row_number().over(Window.partitionBy("block").orderBy("n"))
-    local = own.withColumn("island", F.col("n") - row).groupBy("block", "island").agg(F.min("n").alias("first"), F.max("n").alias("last"))
-    at_start, at_end = F.col("first") == F.col("block") * BLOCK, F.col("last") == (F.col("block") + 1) * BLOCK - 1
-    inner = local.filter(~at_start & ~at_end).select("first", "last")
-    return inner.unionByName(merged(local.filter(at_start | at_end).select("first", "last")))
+def swept(edges: DataFrame) -> DataFrame:
+    """(at, x, pid, now, before): whether available numbers without processed ones lie from each place on, and just before it.
 
+    edges: (at, a, p, x), a and p being how many available and processed intervals start (ends negative) at a place, x marks
+    places asked for. Each range of places is summed up by itself; what it starts from is carried over a window with one
+    row a range, so no task sees all places."""
+    own = ranged(edges)
+    w = Window.partitionBy("pid").orderBy("at")
+    ahead = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a range: at most spark.sql.shuffle.partitions
+    sums = own.groupBy("pid").agg(F.sum("a").alias("sa"), F.sum("p").alias("sp"))
+    carried = sums.select("pid", F.coalesce(F.sum("sa").over(ahead), F.lit(0)).alias("ca"), F.coalesce(F.sum("sp").over(ahead), F.lit(0)).alias("cp"))
+    state = own.join(F.broadcast(carried), "pid").withColumns({"ra": F.sum("a").over(w) + F.col("ca"), "rp": F.sum("p").over(w) + F.col("cp")})
+    open_ = lambda a, p: (a > 0) & (p == 0)
+    return state.select("at", "x", "pid", open_(F.col("ra"), F.col("rp")).alias("now"), open_(F.col("ra") - F.col("a"), F.col("rp") - F.col("p")).alias("before"))
 
-def merged(parts: DataFrame) -> DataFrame:
-    """(first, last) of overlapping or adjacent intervals merged into maximal ones."""
-    w = Window.orderBy("first", "last")
-    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.withColumn("new", F.when(F.col("first") <= F.coalesce(reach, F.col("first") - 2) + 1, 0).otherwise(1))
-    return starts.withColumn("g", F.sum("new").over(w)).groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
 
+def edges(parts: DataFrame, available: bool) -> DataFrame:
+    """Both ends of intervals (first, last) as edges."""
+    zero = F.lit(0)
+    at = lambda place, n: F.struct(place.alias("at"), (F.lit(n) if available else zero).alias("a"), (zero if available else F.lit(n)).alias("p"))
+    return parts.select(F.explode(F.array(at(F.col("first"), 1), at(F.col("last") + 1, -1))).alias("e")).select("e.*", F.lit(False).alias("x"))
 
-def blocked(parts: DataFrame) -> DataFrame:
-    """Intervals with one row for each block they touch."""
-    return parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
 
+def closed(state: DataFrame) -> DataFrame:
+    """(first, last): the maximal intervals of a swept table. Where one ends is the next change, at times in a later range."""
+    flips = cut(state.filter("now != before").select("at", "pid", "now"))
+    w = Window.partitionBy("pid").orderBy("at")
+    later = Window.orderBy("pid").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    heads = flips.groupBy("pid").agg(F.min("at").alias("head"))
+    following = heads.select("pid", F.min("head").over(later).alias("then"))
+    ends = flips.withColumn("next", F.lead("at").over(w)).join(F.broadcast(following), "pid")
+    return ends.filter("now").select(F.col("at").alias("first"), (F.coalesce("next", "then") - 1).alias("last"))
 
-def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """(first, last): what of the available intervals no processed interval covers. Both are disjoint, either may be empty.
 
-    Worked out block by block with an ordered window over the edges of both sides, without a range join."""
-    clip = lambda d, side: blocked(d).select("block", F.greatest("first", F.col("block") * BLOCK).alias("first"), F.least("last", (F.col("block") + 1) * BLOCK - 1).alias("last"), F.lit(side).alias("side"))
-    both = clip(available, 1).unionByName(clip(processed, 0))
-    edge = lambda at, open_: F.struct(at.alias("at"), F.when(F.col("side") == 1, open_).otherwise(0).alias("a"), F.when(F.col("side") == 0, open_).otherwise(0).alias("p"))
-    edges = both.select("block", F.explode(F.array(edge(F.col("first"), F.lit(1)), edge(F.col("last") + 1, F.lit(-1)))).alias("e")).select("block", "e.*")
-    edges = edges.groupBy("block", "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
-    w = Window.partitionBy("block").orderBy("at")
-    state = edges.select("at", F.sum("a").over(w).alias("a"), F.sum("p").over(w).alias("p"), F.lead("at").over(w).alias("next"))
-    gaps = state.filter("a > 0 and p = 0 and next is not null").select(F.col("at").alias("first"), (F.col("next") - 1).alias("last"))
-    return gaps
+def intervals(df: DataFrame, seq: str) -> DataFrame:
+    """(first, last): the distinct numbers of seq as disjoint, maximal closed intervals; nulls are left out."""
+    own = df.select(F.col(seq).cast("long").alias("first")).filter("first is not null").distinct()
+    return merged(own.withColumn("last", F.col("first")))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(first, last) of overlapping or adjacent intervals merged into maximal ones."""
+    return closed(swept(edges(parts, True)))
+
+
+def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
+    """(first, last): what of the available intervals no processed interval covers. Either may be empty."""
+    return closed(swept(edges(available, True).unionByName(edges(processed, False))))
 
 
 def within(df: DataFrame, seq: str, parts: DataFrame) -> DataFrame:
-    """Rows of df whose seq lies in one of the disjoint intervals: an equi-join on blocks, then the range."""
-    own = df.withColumn("__block", F.floor(F.col(seq) / BLOCK))
-    p = blocked(parts).select(F.col("block").alias("__block"), F.col("first").alias("__first"), F.col("last").alias("__last"))
-    return own.join(p, "__block").filter(F.col(seq).between(F.col("__first"), F.col("__last"))).drop("__block", "__first", "__last")
+    """Rows of df whose seq lies in one of the intervals: the numbers alone are swept along with the intervals' ends."""
+    zero = F.lit(0)
+    asked = df.select(F.col(seq).cast("long").alias("at")).filter("at is not null").distinct().select("at", zero.alias("a"), zero.alias("p"), F.lit(True).alias("x"))
+    inside = swept(edges(parts, True).unionByName(asked)).filter("x and now").select(F.col("at").alias(seq))
+    return df.join(inside, seq, "left_semi")
 
 
 def plain_path(path: Column) -> Column:
@@ -73,29 +86,25 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
 
 
-def file_changes(scan: DataFrame, state: DataFrame, runs: DataFrame) -> DataFrame:
+def file_changes(scan: DataFrame, state: DataFrame, runs: DataFrame, log: IntervalLog | None = None) -> DataFrame:
     """(scan_id): listing rows of the files that are new or changed since a successful run processed them.
 
-    A file's current row has its greatest version, then its smallest scan_id; its known hash is that of its state row with
-    the greatest processed_at among successful runs (a tie takes the greater hash). Every other listing number counts
-    as processed; these numbers as intervals are subtracted from those available, and the gaps are what is left to do.
+    The sequence numbers are those of the listing. What the successful runs left behind (of each path the hash of its state
+    row with the greatest processed_at; a tie takes the greater hash) says which listing rows are processed: those with
+    that path and hash. Their numbers are committed to an interval log; of each file's current row (the greatest version, then
+    the smallest scan_id) the numbers that no interval covers are what is left to do. Unfinished runs commit nothing.
     Rows without path or hash are ignored in both tables, null versions and times are the least, unknown runs and null
     statuses aren't successful. Repeated rows and empty tables need nothing special: without state every current row is new."""
     hashed = lambda d, path, digest: d.filter(F.col(path).isNotNull() & F.col(digest).isNotNull() & (F.col(digest) != ""))
-    listed = hashed(scan, "source", "file_hash").select(plain_path(F.col("source")).alias("path"), F.struct("version", (-F.col("scan_id")).alias("order"), F.col("file_hash").alias("hash")).alias("row"))
-    current = listed.groupBy("path").agg(F.max("row").alias("row")).select("path", (-F.col("row.order")).alias("scan_id"), "row.hash")
+    listed = hashed(scan, "source", "file_hash").select("scan_id", plain_path(F.col("source")).alias("path"), "version", F.col("file_hash").alias("hash"))
     good = runs.filter(F.lower("status") == "success").select("run_id").distinct()
-    known = (
-        hashed(state, "path", "hash")
-        .join(good, "run_id", "left_semi")
-        .groupBy(plain_path(F.col("path")).alias("path"))
-        .agg(F.max(F.struct("processed_at", "hash")).alias("row"))
-        .select("path", F.col("row.hash").alias("known"))
-    )
-    due = current.join(known, "path", "left").filter("known is null or known <> hash").select("scan_id")
-    processed = scan.select("scan_id").join(due, "scan_id", "left_anti")
-    gaps = subtract(intervals(scan, "scan_id"), intervals(processed, "scan_id"))
-    return within(scan.select("scan_id"), "scan_id", gaps)
+    done = hashed(state, "path", "hash").join(good, "run_id", "left_semi")
+    known = done.groupBy(plain_path(F.col("path")).alias("path")).agg(F.max(F.struct("processed_at", "hash")).alias("row")).select("path", F.col("row.hash").alias("hash"))
+    log = log or IntervalLog(scan.sparkSession)
+    processed = listed.join(known, ["path", "hash"], "left_semi").select("scan_id")
+    log.commit(processed, processed, "scan_id")
+    current = listed.groupBy("path").agg(F.max(F.struct("version", (-F.col("scan_id")).alias("order"))).alias("row")).select((-F.col("row.order")).alias("scan_id"))
+    return log.pending(current, "scan_id")
 
 
 class IntervalLog:
@@ -132,7 +141,7 @@ class IntervalLog:
         number, name = len(self.commits()), uuid.uuid4().hex
         entry = {"output": f"{self.path}/data/{name}", "intervals": f"{self.path}/intervals/{name}"}
         output.write.parquet(entry["output"])
-        merged(self.processed().unionByName(intervals(rows, seq))).coalesce(1).write.parquet(entry["intervals"])
+        merged(self.processed().unionByName(intervals(rows, seq))).write.parquet(entry["intervals"])
         out = self._fs.create(self._Path(f"{self.path}/commits/{number:012d}.json"), False)  # fails if another run took the number
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -226,21 +227,26 @@ def test_manifest(spark):
     assert manifest.build_status(files, state.limit(0)).first().status == "none"
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400)))
-def test_intervals_are_set_operations(spark, a, b):
-    incremental.BLOCK, old = 16, incremental.BLOCK
-    try:
-        df = lambda s: spark.createDataFrame([(x,) for x in s], "n long")
-        ia, ib = incremental.intervals(df(a), "n"), incremental.intervals(df(b), "n")
-        expand = lambda d: [x for f, l in d.collect() for x in range(f, l + 1)]
-        assert sorted(expand(ia)) == sorted(a)
-        rows = sorted(map(tuple, ia.collect()))
-        assert all(y[0] > x[1] + 1 for x, y in zip(rows, rows[1:], strict=False))
-        assert sorted(expand(incremental.subtract(ia, ib))) == sorted(a - b)
-        assert sorted(r.n for r in incremental.within(df(a), "n", ib).collect()) == sorted(a & b)
-    finally:
-        incremental.BLOCK = old
+@pytest.mark.parametrize("seed", range(6))
+def test_intervals_are_set_operations(spark, seed):
+    rng = random.Random(seed)
+    dense = rng.choice([0.1, 0.5, 0.9])
+    a, b = ({k for k in range(rng.choice([0, 5, 400])) if rng.random() < dense} for _ in range(2))
+    df = lambda s: spark.createDataFrame([(x,) for x in s] + [(None,)], "n long").repartition(3)
+    ia, ib = (incremental.cut(incremental.intervals(df(x), "n")) for x in (a, b))
+    expand = lambda d: [x for f, l in d.collect() for x in range(f, l + 1)]
+    assert sorted(expand(ia)) == sorted(a)
+    rows = sorted(map(tuple, ia.collect()))
+    assert all(y[0] > x[1] + 1 for x, y in zip(rows, rows[1:], strict=False))
+    assert sorted(expand(incremental.subtract(ia, ib))) == sorted(a - b)
+    assert sorted(r.n for r in incremental.within(df(a), "n", ib).collect()) == sorted(a & b)
+
+
+def test_long_and_overlapping_intervals_merge(spark):
+    df = spark.createDataFrame([(0, 1 << 50), (5, 9), ((1 << 50) + 1, (1 << 50) + 4), ((1 << 51), 1 << 51)], "first long, last long")
+    assert sorted(map(tuple, incremental.merged(df).collect())) == [(0, (1 << 50) + 4), (1 << 51, 1 << 51)]
+    cut = incremental.subtract(df, spark.createDataFrame([(7, (1 << 50) + 2)], "first long, last long"))
+    assert sorted(map(tuple, cut.collect())) == [(0, 6), ((1 << 50) + 3, (1 << 50) + 4), (1 << 51, 1 << 51)]
 
 
 def test_file_changes_edge_cases(spark):
