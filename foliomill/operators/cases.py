@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,18 +165,26 @@ def reply_cases(df: DataFrame, key: str, reply: str) -> DataFrame:
     """(key, case_index, name, step_id, step, precondition, priority, expected) of replies; well-formed arrays are parsed in the JVM,
     only what fails goes through the repair in Python."""
     good = F.from_json(F.col(reply), CASE, {"mode": "PERMISSIVE"})
-    ok = F.trim(reply).startswith("[") & good.isNotNull() & (F.size(good) > 0)
-    direct = df.filter(F.coalesce(ok, F.lit(False))).select(key, F.posexplode(good).alias("case_index", "c"))
+    ok = F.coalesce(F.trim(reply).startswith("[") & good.isNotNull() & (F.size(good) > 0), F.lit(False))
+    direct = df.filter(ok).select(key, F.posexplode(good).alias("case_index", "c")).select(key, "case_index", "c.*")
+    kind = df.schema[key].dataType.simpleString()
+    fields = ("name", "step_id", "step", "precondition", "priority", "expected")
 
-    @F.udf(CASE)
-    def mend(text):
-        keep = ("name", "step_id", "step", "precondition", "priority", "expected")
+    def mend(batches):
         as_int = lambda v: int(v) if str(v).isdigit() else None
-        return [tuple(as_int(r.get(f)) if f == "step_id" else (None if r.get(f) is None else str(r.get(f))) for f in keep) for r in parsed_cases(text)]
-
-    rest = df.filter(~F.coalesce(ok, F.lit(False))).select(key, F.posexplode(mend(reply)).alias("case_index", "c"))
-    rows = direct.unionByName(rest)
-    return rows.select(key, "case_index", "c.name", "c.step_id", literal_newlines(F.col("c.step")).alias("step"), "c.precondition", "c.priority", "c.expected")
+        for b in batches:
+            rows, no, found = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                got = parsed_cases(text)
+                rows += [k] * len(got)
+                no += range(len(got))
+                found += [[as_int(r.get(f)) if f == "step_id" else None if r.get(f) is None else str(r[f]) for f in fields] for r in got]
+            columns = list(zip(*found, strict=True)) if found else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), *(pa.array(c, pa.int32() if f == "step_id" else pa.string()) for f, c in zip(fields, columns, strict=True))], names=["key", "case_index", *fields])
+
+    schema = f"key {kind}, case_index int, " + ", ".join(f"{f} {'int' if f == 'step_id' else 'string'}" for f in fields)
+    rest = df.filter(~ok).filter(F.col(reply).isNotNull()).select(F.col(key).alias("key"), F.col(reply).alias("reply")).mapInArrow(mend, schema).withColumnRenamed("key", key)
+    return direct.unionByName(rest).withColumn("step", literal_newlines(F.col("step")))
 
 
 def markdown_cases(text: str) -> list[dict]:

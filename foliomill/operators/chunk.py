@@ -43,15 +43,17 @@ def chunk_type(text: Column) -> Column:
 def packed(text: Column, size: int = CHUNK_SIZE) -> Column:
     """Paragraphs packed greedily into pieces of at most `size` characters, joined by empty lines; a longer paragraph stays whole."""
     parts = F.filter(F.transform(F.split(text, f"\n{WS}*\n|\n", -1), strip), lambda p: p != "")
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit("").alias("starts"))
 
     def step(s, p):
-        fits = F.length(s["cur"]) + F.length(p) + 2 <= size
-        grown = F.when(s["cur"] == "", p).otherwise(F.concat(s["cur"], F.lit("\n\n"), p))
-        done = F.when(fits | (s["cur"] == ""), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(p).alias("cur"))
-
-    return F.aggregate(parts, zero, step, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
+        # The fold notes which paragraphs start a piece; no text is copied in it.
+        new = (s["n"] == 0) | (s["n"] + F.length(p) + 2 > size)
+        return F.struct(F.when(new, F.length(p)).otherwise(s["n"] + 2 + F.length(p)).alias("n"), F.concat(s["starts"], F.when(new, "1").otherwise("0")).alias("starts"))
+
+    starts = F.aggregate(parts, zero, step)["starts"]
+    # Paragraphs hold no newline, so three in a row part the pieces.
+    led = F.transform(parts, lambda p, i: F.concat(F.when(i == 0, "").when(F.substring(starts, i + 1, F.lit(1)) == "1", "\n\n\n").otherwise("\n\n"), p))
+    return F.when(F.size(parts) > 0, F.split(F.array_join(led, ""), "\n\n\n", -1)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 class SemanticChunker:

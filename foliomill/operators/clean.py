@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,11 @@ from ..functions.text import any_match, dedup_key, lines, strip
 from ..rules import APPROVAL_STARTS, METADATA_LINES, PAGE_LINES, REAL_HEADINGS, SEPARATORS, SHORT_DOC, TOC_ENTRIES, TOC_LINES, TOC_STARTS, WATERMARK_LINES
 
 
-FLAGS = ("blank", "meta", "head", "toc", "entry", "approval", "rule", "page", "mark", "bar", "row", "dashes")
-
-
 def classified(text: Column) -> Column:
-    """The lines with what each is by itself, every pattern matched once: the state machines read these flags alone."""
-    stripped = F.transform(lines(text), lambda x: F.struct(x.alias("line"), strip(x).alias("x")))
+    """What each line is by itself, every pattern matched once: the state machines read these flags alone."""
 
-    def flags(e):
-        x = e["x"]
+    def flags(x):
         return F.struct(
-            e["line"].alias("line"),
             (x == "").alias("blank"),
             any_match(x, METADATA_LINES).alias("meta"),
             any_match(x, REAL_HEADINGS).alias("head"),
@@ -34,93 +30,104 @@ def classified(text: Column) -> Column:
             F.contains(x, F.lit("---")).alias("dashes"),
         )
 
-    return F.transform(stripped, flags)
+    return F.transform(F.transform(lines(text), strip), flags)
 
 
-def _joined(marked: Column) -> Column:
-    return F.array_join(F.transform(marked, lambda e: e["line"]), "\n")
+# A state machine: its fields with their first values, and a step from (state, line) to (new fields, whether the line stays).
+Machine = tuple[dict[str, Column], Callable[[Column, Column], tuple[dict[str, Column], Column]]]
 
 
-def _machine(marked: Column, start: dict[str, Column], step) -> Column:
-    """Fold the lines with a state struct that has an array `out` of the lines kept."""
-    none = F.array().cast(f"array<struct<line:string,{','.join(f'{f}:boolean' for f in FLAGS)}>>")
-    return F.aggregate(marked, F.struct(*[v.alias(k) for k, v in start.items()], none.alias("out")), step)["out"]
+def _fold(text: Column, machines: list[Machine], also: Callable[[Column], Column] | None = None) -> Column:
+    """The text's lines that all machines keep, in one pass: a line that one drops is not seen by those after it.
 
+    The fold only notes a sign a line, so its state stays small however many lines there are."""
+    start = F.struct(*[v.alias(k) for fields, _ in machines for k, v in fields.items()], F.lit("").alias("kept"))
 
-def _push(s: Column, e: Column, keep: Column) -> Column:
-    return F.when(keep, F.concat(s["out"], F.array(e))).otherwise(s["out"]).alias("out")
+    def step(s, e):
+        alive, fields = F.lit(True), []
+        for _, machine in machines:
+            new, keep = machine(s, e)
+            fields += [F.when(alive, v).otherwise(s[k]).alias(k) for k, v in new.items()]
+            alive = alive & keep
+        alive = alive & also(e) if also is not None else alive
+        return F.struct(*fields, F.concat(s["kept"], F.when(alive, "1").otherwise("0")).alias("kept"))
 
+    kept = F.aggregate(classified(text), start, step)["kept"]
+    return F.array_join(F.filter(lines(text), lambda x, i: F.substring(kept, i + 1, F.lit(1)) == "1"), "\n")
 
-def _metadata(marked: Column) -> Column:
+
+def _metadata() -> Machine:
     def step(s, e):
-        blanks = F.when(e["meta"], 0).when(s["skip"] & e["blank"], s["blanks"] + 1).otherwise(s["blanks"])
-        leaves = s["skip"] & ~e["meta"] & ((e["blank"] & (s["blanks"] >= 1)) | (~e["blank"] & e["head"]))
-        skip = F.when(e["meta"], True).when(leaves, False).otherwise(s["skip"])
-        return F.struct(skip.alias("skip"), F.when(leaves, 0).otherwise(blanks).cast("int").alias("blanks"), _push(s, e, ~e["meta"] & (~s["skip"] | leaves)))
+        blanks = F.when(e["meta"], 0).when(s["meta"] & e["blank"], s["blanks"] + 1).otherwise(s["blanks"])
+        leaves = s["meta"] & ~e["meta"] & ((e["blank"] & (s["blanks"] >= 1)) | (~e["blank"] & e["head"]))
+        skip = F.when(e["meta"], True).when(leaves, False).otherwise(s["meta"])
+        return {"meta": skip, "blanks": F.when(leaves, 0).otherwise(blanks).cast("int")}, ~e["meta"] & (~s["meta"] | leaves)
 
-    return _machine(marked, {"skip": F.lit(False), "blanks": F.lit(0)}, step)
+    return {"meta": F.lit(False), "blanks": F.lit(0)}, step
 
 
-def _toc(marked: Column) -> Column:
+def _toc() -> Machine:
     def step(s, e):
         begins = ~s["toc"] & e["toc"]
         leaves = s["toc"] & ((s["n"] + 1 > TOC_LINES) | (~e["blank"] & ~e["entry"]))
-        n = F.when(s["toc"], s["n"] + 1).otherwise(0)
-        return F.struct((begins | (s["toc"] & ~leaves)).alias("toc"), n.cast("int").alias("n"), _push(s, e, (~s["toc"] & ~begins) | leaves))
+        return {"toc": begins | (s["toc"] & ~leaves), "n": F.when(s["toc"], s["n"] + 1).otherwise(0).cast("int")}, (~s["toc"] & ~begins) | leaves
 
-    return _machine(marked, {"toc": F.lit(False), "n": F.lit(0)}, step)
+    return {"toc": F.lit(False), "n": F.lit(0)}, step
 
 
-def _approval(marked: Column) -> Column:
+def _approval() -> Machine:
     def step(s, e):
-        skip = F.when(e["approval"], True).when(e["head"], False).otherwise(s["skip"])
-        return F.struct(skip.alias("skip"), _push(s, e, ~skip))
+        skip = F.when(e["approval"], True).when(e["head"], False).otherwise(s["approval"])
+        return {"approval": skip}, ~skip
 
-    return _machine(marked, {"skip": F.lit(False)}, step)
+    return {"approval": F.lit(False)}, step
 
 
-def _separators(marked: Column) -> Column:
+def _separators() -> Machine:
     def step(s, e):
         kept = e["row"] | (s["table"] & (e["bar"] | e["dashes"]))
         ends = s["table"] & ~e["blank"] & ~e["bar"]
-        return F.struct(F.when(kept, True).when(ends, False).otherwise(s["table"]).alias("table"), _push(s, e, kept | ~e["rule"]))
+        return {"table": F.when(kept, True).when(ends, False).otherwise(s["table"])}, kept | ~e["rule"]
+
+    return {"table": F.lit(False)}, step
+
 
-    return _machine(marked, {"table": F.lit(False)}, step)
+def _unmatched(text: Column, patterns) -> Column:
+    return F.array_join(F.filter(lines(text), lambda x: ~any_match(strip(x), patterns)), "\n")
 
 
 def without_page_lines(text: Column) -> Column:
     """The text without the lines that only hold a page number."""
-    return _joined(F.filter(classified(text), lambda e: ~e["page"]))
+    return _unmatched(text, PAGE_LINES)
 
 
 def without_watermarks(text: Column) -> Column:
-    return _joined(F.filter(classified(text), lambda e: ~e["mark"]))
+    return _unmatched(text, WATERMARK_LINES)
 
 
 def without_metadata(text: Column) -> Column:
     """Skip from a metadata line to a real heading or to the second blank line since (which is kept)."""
-    return _joined(_metadata(classified(text)))
+    return _fold(text, [_metadata()])
 
 
 def without_toc(text: Column) -> Column:
     """Skip a table of contents: its start, its entries and blanks, until a line that is none (kept) or the limit."""
-    return _joined(_toc(classified(text)))
+    return _fold(text, [_toc()])
 
 
 def without_approval(text: Column) -> Column:
     """Skip from an approval line to the next real heading (kept)."""
-    return _joined(_approval(classified(text)))
+    return _fold(text, [_approval()])
 
 
 def without_separators(text: Column) -> Column:
     """Drop drawn rules outside markdown tables; a rule right after a table's rows is kept, blank lines don't end it."""
-    return _joined(_separators(classified(text)))
+    return _fold(text, [_separators()])
 
 
 def cleaned(text: Column) -> Column:
-    """All line and region filters, in their order; the lines are classified once."""
-    marked = _separators(_approval(_toc(_metadata(classified(text)))))
-    return _joined(F.filter(marked, lambda e: ~e["page"] & ~e["mark"]))
+    """All line and region filters, in their order; the lines are classified once and folded once."""
+    return _fold(text, [_metadata(), _toc(), _approval(), _separators()], lambda e: ~e["page"] & ~e["mark"])
 
 
 def deduplicated(df: DataFrame, order: str, text: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running
@@ -41,22 +41,18 @@ def markdown_heading(line: Column) -> tuple[Column, Column, Column]:
 
 def sections(df: DataFrame, key: str, text: str, heading) -> DataFrame:
     """(key, section_index, section_level, section_title, section): a heading starts a section, text before the first is
-    level 0 without title. Empty sections give no row but count in the index. Keys are unique; null texts give nothing."""
-    rows = df.select(key, F.posexplode(lines(F.col(text))).alias("no", "line")).withColumn("s", strip(F.col("line")))
+    level 0 without title. Empty sections give no row but count in the index. Null texts give nothing; repeated keys give
+    theirs each. Each text is cut where it is: no line crosses a shuffle."""
+    rows = df.select(key, lines(F.col(text)).alias("ls"))
+    spots = F.filter(F.transform("ls", lambda x, i: F.when(F.coalesce(heading(strip(x))[0], F.lit(False)), i + 1)), lambda p: p.isNotNull())
+    # The first line starts a section in any case.
+    rows = rows.withColumn("at", spots).withColumn("at", F.when(F.get("at", F.lit(0)) == 1, F.col("at")).otherwise(F.concat(F.array(F.lit(1)), "at")))
+    until = lambda k: F.coalesce(F.get("at", k + 1), F.size("ls") + 1)
+    cut = F.transform("at", lambda p, k: F.struct(F.get("ls", p - 1).alias("first"), F.array_join(F.slice("ls", p, until(k) - p), "\n").alias("body")))
+    parts = rows.select(key, F.posexplode(cut).alias("section_index", "c")).select(key, "section_index", strip(F.col("c.first")).alias("s"), strip(F.col("c.body")).alias("section"))
     is_head, level, title = heading(F.col("s"))
-    rows = rows.withColumns({"head": F.coalesce(is_head, F.lit(False)), "level": level, "title": title})
-    w = Window.partitionBy(key).orderBy("no")  # one text's lines
-    grouped = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(w))
-    found = grouped.groupBy(key, "section").agg(
-        F.max(F.when(F.col("head"), F.col("level"))).alias("level"),
-        F.max(F.when(F.col("head"), F.col("title"))).alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("body"),
-        F.max(F.col("section") > 0).alias("headed"),
-    )
-    pre = grouped.filter("section = 0").select(key).distinct().withColumn("has_pre", F.lit(1))
-    out = found.join(pre, key, "left").withColumn("body", strip(F.col("body")))
-    index = (F.col("section") - F.when(F.col("has_pre").isNull(), 1).otherwise(0)).cast("int")
-    return out.select(key, index.alias("section_index"), F.coalesce("level", F.lit(0)).alias("section_level"), F.coalesce("title", F.lit("")).alias("section_title"), F.col("body").alias("section")).filter("section <> ''")
+    head = F.coalesce(is_head, F.lit(False))
+    return parts.select(key, "section_index", F.when(head, level).otherwise(0).alias("section_level"), F.when(head, title).otherwise("").alias("section_title"), "section").filter("section <> ''")
 
 
 def merge_short(df: DataFrame, order: str, text: str, meta: list[str], least: int = SHORT_ROW, part: str | None = None) -> DataFrame:
