@@ -52,8 +52,9 @@ def packed(text: Column, size: int = CHUNK_SIZE) -> Column:
 
     starts = F.aggregate(parts, zero, step)["starts"]
     # Paragraphs hold no newline, so three in a row part the pieces.
-    led = F.transform(parts, lambda p, i: F.concat(F.when(i == 0, "").when(F.substring(starts, i + 1, F.lit(1)) == "1", "\n\n\n").otherwise("\n\n"), p))
-    return F.when(F.size(parts) > 0, F.split(F.array_join(led, ""), "\n\n\n", -1)).when(text.isNotNull(), F.array().cast("array<string>"))
+    led = F.zip_with(parts, F.split(starts, ""), lambda p, k: F.concat(F.when(k == "1", "\n\n\n").otherwise("\n\n"), p))
+    # The first piece's sign leaves an empty part in front.
+    return F.filter(F.split(F.array_join(led, ""), "\n\n\n", -1), lambda c: c != "")
 
 
 class SemanticChunker:

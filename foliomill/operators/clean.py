@@ -53,7 +53,9 @@ def _fold(text: Column, machines: list[Machine], also: Callable[[Column], Column
         return F.struct(*fields, F.concat(s["kept"], F.when(alive, "1").otherwise("0")).alias("kept"))
 
     kept = F.aggregate(classified(text), start, step)["kept"]
-    return F.array_join(F.filter(lines(text), lambda x, i: F.substring(kept, i + 1, F.lit(1)) == "1"), "\n")
+    # Zipped, so that the fold is evaluated once a text; inside a lambda it would be once a line.
+    signed = F.zip_with(lines(text), F.split(kept, ""), lambda x, k: F.when(k == "1", x))
+    return F.array_join(F.filter(signed, lambda x: x.isNotNull()), "\n")
 
 
 def _metadata() -> Machine:

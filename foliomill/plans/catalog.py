@@ -12,6 +12,7 @@ from ..operators import cases, chunk, clean, incremental, labels, manifest, sear
 from ..operators.tables import markdown_rows
 from ..rules import APPROVAL_STARTS, PAGE_LINES, REAL_HEADINGS, SCENARIO_WORDS, TITLE_WORDS, WATERMARK_LINES
 from ..session import cut, table
+from .statements import statements
 
 FLAGSHIP = "hybrid_topk"
 QUERY_TERMS = ["system", "approval", "system", "同", "步"]
@@ -352,6 +353,15 @@ def json_parse(s, sf):
     return e.select("event_id", F.to_json("j").isNotNull().alias("parsed"))
 
 
+def reply_cases(s, sf):
+    """Replies of a chat model as they come: bare, fenced, or without their end; one a row of the case table."""
+    case = F.struct("name", "step_id", "step", "precondition", "priority", "expected")
+    said = F.to_json(F.array(case))
+    form = F.pmod(F.col("seq"), F.lit(3))
+    reply = F.when(form == 0, said).when(form == 1, F.concat(F.lit("Here they are:\n```json\n"), said, F.lit("\n```"))).otherwise(F.expr("left(said, length(said) - 1)"))
+    return cases.reply_cases(_cases(s, sf).withColumn("said", said).select("seq", reply.alias("reply")), "seq", "reply")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """paragraph_split route_strategy markdown_sections word_sections merge_short_rows content_dedup min_length_after_dedup normalize_format
         line_filter region_approval region_metadata region_toc table_separators cleaned_pages title_tags intro_tags doc_name_version_tag all_tags module_name
@@ -359,7 +369,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         split_text_pack semantic_chunks markdown_table corpus_terms bm25_topk vector_topk filtered_vector_topk hybrid_topk tag_contains metadata_filter
         name_boost version_boost multi_query_union supplement_unseen parent_recall history_text context_block version_list version_latest
         version_second_by_module version_by_name document_name_input manifest_latest changed_files manifest_upsert build_status list_page scan_intervals
-        p4_found orphan_steps attach_steps case_numbers case_name_dedup case_sheet case_report case_counts json_parse""".split()
+        p4_found orphan_steps attach_steps case_numbers case_name_dedup case_sheet case_report case_counts json_parse reply_cases""".split()
     return {n: globals()[n] for n in names}
 
 
@@ -409,7 +419,8 @@ def oracle_sql() -> dict[str, str]:
     vec = lambda where, k: f"SELECT vec_id, s AS similarity, CAST(row_number() OVER (ORDER BY s DESC, vec_id) AS INT) AS rank FROM (SELECT vec_id, {sim} AS s FROM embeddings WHERE {where} ORDER BY s DESC, vec_id LIMIT {k})"
     level = "list_max(list_transform(tags, lambda t: CASE WHEN t = '临时' THEN 2 WHEN starts_with(t, '临时') THEN 1 WHEN contains(t, '临时') THEN 0 END))"
     known = f"SELECT path, arg_max(hash, (processed_at, coalesce(hash, ''))) AS hash FROM (SELECT {_path('path')} AS path, hash, processed_at FROM file_state WHERE path IS NOT NULL) GROUP BY 1"
-    return {
+    tag = "translate(CASE WHEN version IS NOT NULL AND version <> '' THEN stem || '_V' || version ELSE stem END, '/:', '--')"
+    return statements(_path, tag) | {
         "paragraph_split": f"SELECT record_id, CAST(i - 1 AS INT) AS paragraph_index, {_strip('a[i]')} AS paragraph FROM (SELECT record_id, a, unnest(generate_series(1, len(a))) AS i FROM (SELECT record_id, string_split_regex(page_content, '\\n{W}*\\n|\\n') AS a FROM kb_document WHERE page_content IS NOT NULL)) WHERE {_strip('a[i]')} <> ''",
         "content_dedup": dedup,
         "min_length_after_dedup": f"SELECT record_id FROM kb_document JOIN ({dedup}) USING (record_id) WHERE length({_strip('page_content')}) >= 20",
