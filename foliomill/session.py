@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +28,11 @@ def local_session(app: str = "foliomill", cores: str | int = "*", shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: the one of spark.checkpoint.dir, a local one only where that is unset."""
+    """Folder all executors share: the one of spark.checkpoint.dir. A temporary one stands in only where all run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="foliomill-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -42,13 +45,31 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: survives lost executors, ends lineage and plan,
-    and tells the planner the true size. The tables go with the session (release) or with its checkpoint folder."""
+    """Write df as a table in the shared folder and read it back: survives lost executors, ends lineage and plan.
+    What the planner learns is the size of compressed files, so who broadcasts such a table measures its rows first.
+    The tables go with the session (release) or with its checkpoint folder."""
     spark = df.sparkSession
     path = scratch(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     _CUTS.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def stored_rows(df: DataFrame) -> int:
+    """Rows of a table: of one that cut returned told by its files' footers, without a job; else counted."""
+    path = getattr(df, "cut_path", None)
+    if path is None:
+        return df.count()
+    if getattr(df, "cut_rows", None) is None:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".parquet")]
+        if len(files) > 500:
+            return df.count()
+        df.cut_rows = sum(b.getRowCount() for f in files for b in jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter(conf, f).getBlocks())
+    return df.cut_rows
 
 
 _CUTS: list[str] = []
