@@ -438,8 +438,10 @@ def word_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
     rare = words.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)))
     t = tokens.select("token").mapInArrow(grams(rare), "token string, q long")
     w = words.select(F.col("w").alias("word"), "n").mapInArrow(grams(rare), "word string, n long, q long")
-    # The planner can't know how many q-grams a word gives: the join is shuffled, never broadcast.
-    shared = t.join(w.hint("merge"), "q").filter("abs(length(token) - length(word)) <= 1 and token != word")
+    # The planner can't know how many q-grams a word gives nor how many pairs they make: the join is shuffled, never
+    # broadcast, to as many tasks as the session asks for.
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = t.repartition(n, "q").join(w.repartition(n, "q").hint("merge"), "q").filter("abs(length(token) - length(word)) <= 1 and token != word")
 
     def check(batches):
         for b in batches:
