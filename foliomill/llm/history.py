@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, cuts_held, drop_path, release, scratch
+from ..session import cut, cuts_held, drop_path, release, scratch, stored_rows
 from .kernel import U
 from .neardup import bounded
 from .sketch import MASKS, SLOTS, plausible, sketches, verified, window_pairs
@@ -135,11 +135,19 @@ class History:
             wanted = None if parts is None else {str(p >> (MOST_BITS - run["bits"]) if at == "k" else p % (1 << run["bits"])) for p in parts}
             names = [n for n in run["parts"] if wanted is None or n in wanted]
             paths += [f"{run['path']}/part={n}" for n in names]
-            self.opened += sum(run["parts"][n] for n in names) if parts is not None else 0
+            self.opened += sum(run["parts"][n] for n in names)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _touched(self, df: DataFrame, at: str) -> set[int]:
-        """Numbers of the finest division that df's keys fall in: at most 2^MOST_BITS come to the driver."""
+    def _own(self, run: dict, schema: str) -> DataFrame:
+        """The rows of the batch's own run, which isn't history yet."""
+        opened, rows = self.opened, self._read([run], schema)
+        self.opened = opened
+        return rows
+
+    def _touched(self, df: DataFrame, at: str, runs: list[dict]) -> set[int] | None:
+        """Numbers of the finest division that df's keys fall in: at most 2^MOST_BITS come to the driver. None if no run is divided."""
+        if not any(r["bits"] for r in runs):
+            return None
         return {r[0] for r in df.select(part_of({"bits": MOST_BITS}, at)).distinct().collect()}
 
     # -- batches ----------------------------------------------------------------------------------------------------
@@ -156,18 +164,18 @@ class History:
             return None
         self.opened = 0
         # One pass over the batch's texts.
-        sketched = sketches(batch, key, text, self.pieces, self.width, self.rounds * SLOTS, pack=True)
-        records = self._write(sketched, "key", batch.filter(F.col(text).isNotNull()).count())
-        mine = self._read([records], f"{RECORDS}, digest binary, slots binary")
+        mine = cut(sketches(batch, key, text, self.pieces, self.width, self.rounds * SLOTS, pack=True))
+        records = self._write(mine.select("key", "bits", "packed"), "key", stored_rows(mine))
         heads = mine.groupBy("digest").agg(F.min_by(F.struct("key", "slots"), "key").alias("h")).select("digest", "h.*")
         fresh = entries = cut(sort_keys(heads, self.rounds))
         if compare:
             # A text known to the history is linked, and needs no second entry among the keys.
             digests = cut(entries.filter("low is not null"))
-            old = self._read(runs["keys"], KEYS, self._touched(digests, "k")).filter("low is not null").select("k", F.col("low").alias("other"))
+            old = self._read(runs["keys"], KEYS, self._touched(digests, "k", runs["keys"])).filter("low is not null").select("k", F.col("low").alias("other"))
             seen = cut(old.join(bounded(digests), "k").filter("low = other").select("key").distinct())
             fresh = entries.join(bounded(seen), "key", "left_anti")
-        keys = self._write(fresh, "k", fresh.count())
+        per_text = self.rounds * len(MASKS) + 1
+        keys = self._write(fresh, "k", stored_rows(entries) - (stored_rows(seen) * per_text if compare else 0))
         linked = cut(self._linked(mine.select("key"), runs, keys, records)) if compare else None
         release(self.spark, since=held, keep=int(compare))  # all but the result
         grown = runs | {"keys": [*runs["keys"], keys], "records": [*runs["records"], records], "batches": [*runs["batches"], *([name] if name is not None else [])]}
@@ -178,18 +186,20 @@ class History:
 
     def _linked(self, mine: DataFrame, runs: dict, keys: dict, records: dict) -> DataFrame:
         """(key) of the batch's linked records: all but the first of each new text that no window links."""
-        new = self._read([keys], KEYS).filter("low is null").select("k", F.col("key").alias("b"))
-        old = self._read(runs["keys"], KEYS, self._touched(new, "k")).filter("low is null").select("k", F.col("key").alias("a"))
+        new = cut(self._own(keys, KEYS).filter("low is null").select("k", F.col("key").alias("b")))
+        old = self._read(runs["keys"], KEYS, self._touched(new, "k", runs["keys"])).filter("low is null").select("k", F.col("key").alias("a"))
         # First the edges of each window, found before anything is paired: a hot key costs two rows.
         by_key = bounded(new)
-        ends = old.join(bounded(new.select("k")), "k", "left_semi").groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("k", F.explode(F.array("lo", "hi")).alias("a"))
+        ends = old.join(bounded(new.select("k"), new), "k", "left_semi").groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("k", F.explode(F.array("lo", "hi")).alias("a"))
         own_ends = new.groupBy("k").agg(F.min("b").alias("a"))
         edges = cut(ends.join(by_key, "k").select("a", "b").unionByName(own_ends.join(by_key, "k").filter("a < b").select("a", "b")).distinct())
         first = cut(self._confirmed(edges, runs, records).select("b").distinct())
         # Then, of the records not linked yet, the whole windows.
         left = cut(new.join(bounded(first), "b", "left_anti"))
+        if not stored_rows(left):
+            return mine
         rest = cut(self._whole(left, old, new, runs, records).join(edges.hint("merge"), ["a", "b"], "left_anti"))
-        linked = first if rest.isEmpty() else first.unionByName(self._confirmed(rest, runs, records).select("b")).distinct()
+        linked = first if not stored_rows(rest) else first.unionByName(self._confirmed(rest, runs, records).select("b")).distinct()
         alone = cut(left.select(F.col("b").alias("key")).distinct().join(linked.withColumnRenamed("b", "key").hint("merge"), "key", "left_anti"))
         return mine.join(bounded(alone), "key", "left_anti")
 
@@ -198,17 +208,17 @@ class History:
 
         A window of more than SMALL_WINDOW entries is dealt to parts; each part meets the new records in one group, which
         only gives the pairs that the sketches leave possible. So a hot window is never one task, nor written out as pairs."""
-        asked = bounded(left.select("k"))
+        asked = bounded(left.select("k"), left)
         near = old.select("k", "a", F.lit(True).alias("old")).unionByName(new.select("k", F.col("b").alias("a"), F.lit(False).alias("old"))).join(asked, "k", "left_semi")
         near = cut(near)
         hot = cut(near.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL_WINDOW).select("k", F.ceil(F.col("n") / WINDOW_PART).cast("int").alias("parts")))
-        few = near.join(bounded(hot.select("k")), "k", "left_anti").join(bounded(left), "k").filter("old or a < b").select("a", "b")
-        if hot.isEmpty():
+        few = near.join(bounded(hot.select("k"), hot), "k", "left_anti").join(bounded(left), "k").filter("old or a < b").select("a", "b")
+        if not stored_rows(hot):
             return few.distinct()
-        mine = self._read([records], RECORDS).select("key", "bits")
+        mine = self._own(records, RECORDS).select("key", "bits")
         members = near.join(bounded(hot), "k")
         wanted = cut(members.select(F.col("a").alias("key")).distinct())
-        bits = self._read(runs["records"], RECORDS, self._touched(wanted, "key"), "key").select("key", "bits").unionByName(mine)
+        bits = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key").select("key", "bits").unionByName(mine)
         sides = members.select("k", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("key"), F.when(F.col("old"), 0).otherwise(1).alias("side"))
         asking = left.join(bounded(hot), "k").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("key"), F.lit(2).alias("side"))
         met = sides.unionByName(asking).join(bits.hint("merge"), "key")
@@ -217,12 +227,16 @@ class History:
     def _confirmed(self, pairs: DataFrame, runs: dict, records: dict) -> DataFrame:
         """(a, b, similarity) of the pairs at or above the threshold: by sketch, then exactly. Opens the buckets with candidates."""
         wanted = cut(pairs.select(F.col("a").alias("key")).distinct())
-        old = self._read(runs["records"], RECORDS, self._touched(wanted, "key"), "key")
-        mine = self._read([records], RECORDS)
+        old = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key")
+        mine = self._own(records, RECORDS)
         left = old.unionByName(mine).join(bounded(wanted), "key", "left_semi")
-        both = pairs.select("a", "b").join(left.withColumnsRenamed({"key": "a", "bits": "bits_a", "packed": "packed_a"}), "a")
-        both = both.join(mine.withColumnsRenamed({"key": "b", "bits": "bits_b", "packed": "packed_b"}), "b")
-        return verified(plausible(both, self.threshold), self.pieces, self.width, self.threshold)
+        # Sketches first: texts only travel for the pairs that are left.
+        both = pairs.select("a", "b").join(left.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a")
+        both = both.join(mine.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
+        likely = cut(plausible(both, self.threshold))
+        texts = likely.join(left.select(F.col("key").alias("a"), F.col("packed").alias("packed_a")), "a")
+        texts = texts.join(mine.select(F.col("key").alias("b"), F.col("packed").alias("packed_b")), "b")
+        return verified(texts, self.pieces, self.width, self.threshold)
 
     def compact(self) -> None:
         """Merge runs, of keys and of records. The first run, which holds nearly all, is only rewritten once those behind it hold a

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, stored_rows
 from .sketch import SLOTS, compared, covering_keys, packed_texts, plausible, sketches, verified
 
 # Buckets up to this many texts give all their pairs at once; larger ones are compared part by part (large_pairs).
@@ -26,11 +26,16 @@ HUB, CLASS_PART = 20_000, 1000
 BROADCAST_BYTES = 8 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Mark df for broadcast if its rows, measured with their texts and arrays, are small; else ask for a shuffled join.
 
-    df is read for that, so it should be a table that is already written."""
+    df is read for that, so it should be a table that is already written. of: a table by cut that has at least df's rows; the
+    rows of such a table are known without a job, which is all that columns of fixed width need."""
     size = F.lit(32 + 8 * len(df.columns)).cast("long")
+    known = of if of is not None else df if hasattr(df, "cut_path") else None
+    fixed = not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)) for f in df.schema.fields)
+    if known is not None and fixed and stored_rows(known) * (32 + 8 * len(df.columns)) <= BROADCAST_BYTES:
+        return F.broadcast(df)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
@@ -69,7 +74,7 @@ def bucket_pairs(heads: DataFrame, rounds: int, threshold: float) -> DataFrame:
     """Candidate pairs (a < b) of heads (key, slots, bits): all pairs of small buckets, and those of large ones that the
     sketch does not rule out."""
     pairs, large = expanded(covering_keys(heads, rounds), SMALL_BUCKET)
-    return pairs if large.isEmpty() else pairs.unionByName(large_pairs(large, heads, rounds, threshold)).distinct()
+    return pairs if large.limit(1).isEmpty() else pairs.unionByName(large_pairs(large, heads, rounds, threshold)).distinct()
 
 
 def large_pairs(large: DataFrame, heads: DataFrame, rounds: int, threshold: float) -> DataFrame:
@@ -86,8 +91,8 @@ def large_pairs(large: DataFrame, heads: DataFrame, rounds: int, threshold: floa
 def split_join(edges: DataFrame, about: DataFrame) -> DataFrame:
     """edges (u, v) with m of about (u, m, n: the edges of u), the edges of hubs by a broadcast of the hubs alone."""
     about = cut(about)
-    hubs = about.filter(F.col("n") > HUB).select("u", "m")
-    if hubs.isEmpty():
+    # A vertex has no more edges than there are.
+    if stored_rows(edges) <= HUB or (hubs := about.filter(F.col("n") > HUB).select("u", "m")).isEmpty():
         return edges.join(about.select("u", "m"), "u")
     few = bounded(cut(hubs))
     rest = edges.join(few.select("u"), "u", "left_anti").join(about.filter(F.col("n") <= HUB).select("u", "m"), "u")
@@ -103,7 +108,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
         large = split_join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = cut(large)
