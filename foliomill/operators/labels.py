@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, any_match, basename, java, lines, literal_contains, strip
+from ..plugins import ChatClient
 from ..rules import ENTITY_PATTERN, ENTITY_STOP, POINT_PATTERNS, RULE_PATTERNS, SCENARIO_METADATA, SCENARIO_SKIPPED, SCENARIO_WORDS, SECTION_NUMBER, TITLE_WORDS
 
 
@@ -98,3 +100,25 @@ def scenario_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     cut = F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))), lambda k: F.struct(parts[k * 3 + 1].alias("number"), strip(parts[k * 3 + 2]).alias("title"), strip(parts[k * 3 + 3]).alias("body")))
     rows = df.select(key, F.posexplode(cut).alias("section_index", "s"))
     return rows.select(key, "section_index", F.col("s.number").alias("section_number"), F.col("s.title").alias("section_title"), F.col("s.body").alias("section"))
+
+
+def chat_tags(df: DataFrame, text: str, title: str, order: str, chat: ChatClient, every: int = 3, long: int = 500, most: int = 5) -> DataFrame:
+    """df with chat_tags: up to `most` tags by a chat client, for every so manyth row that is long or has a title; a failing
+    client gives none. Rows are asked for where they are."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, h, n in zip(b.column(text).to_pylist(), b.column(title).to_pylist(), b.column(order).to_pylist(), strict=True):
+                tags: list[str] = []
+                if t and n % every == 0 and (len(t) > long or h):
+                    try:
+                        reply = chat.chat([{"role": "user", "content": f"Give three to five keywords for this text, parted by commas, nothing else:\n{t[:500]}"}])
+                        tags = [x for x in (w.strip().strip(".,;:!?") for w in reply.split(",")) if x][:most]
+                    except Exception:  # noqa: BLE001 - tags are an extra
+                        pass
+                out.append(tags)
+            yield b.append_column("chat_tags", pa.array(out, pa.list_(pa.string())))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "chat_tags array<string>"])
+    return df.mapInArrow(run, schema)

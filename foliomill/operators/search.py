@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
-from ..plugins import Tokenizer, tokenize
+from ..plugins import PairScorer, Tokenizer, tokenize
 from ..session import cut
 from ..rules import BM25_B, BM25_EPSILON, BM25_K1, TOP_K, WEIGHT_BM25, WEIGHT_VECTOR
 
@@ -35,25 +37,77 @@ def occurrences(tokens: str, word: str) -> Column:
 def bm25(df: DataFrame, key: str, text: str, query: list[str], tokenizer: Tokenizer = tokenize, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(key, bm25) of the rows with a positive score. Repeated query tokens count each time; a negative idf becomes epsilon times
     the mean idf. Rows are scored where they are: the query's few terms are what travels."""
+    return bm25_many(df, key, text, [query], tokenizer, stats).select(key, "bm25")
+
+
+def bm25_many(df: DataFrame, key: str, text: str, queries: list[list[str]], tokenizer: Tokenizer = tokenize, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(key, query_no, bm25): as bm25, for several queries in one pass over the texts."""
+    words = sorted({w for q in queries for w in q})
+    if not words:
+        return df.select(key, F.lit(0).alias("query_no"), F.lit(0.0).alias("bm25")).limit(0)
     terms, corpus = stats or corpus_stats(df, text, tokenizer)
-    repeats = Counter(query)
-    if not repeats:
-        return df.select(key, F.lit(0.0).alias("bm25")).limit(0)
-    words = sorted(repeats)
-    # One row: the corpus figures and the frequencies of the query's terms.
+    # One row: the corpus figures and the frequencies of the queries' terms.
     asked = terms.filter(F.col("term").isin(words)).agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"))
     one = corpus.crossJoin(asked)
     docs = df.filter(F.col(text).isNotNull()).select(key, tokenizer(F.col(text)).alias("t"))
     docs = docs.select(key, F.size("t").alias("dl"), *[occurrences("t", w).alias(f"tf{k}") for k, w in enumerate(words)])
     docs = docs.filter(" or ".join(f"tf{k} > 0" for k in range(len(words)))).crossJoin(F.broadcast(one))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
-    score = F.lit(0.0)
-    for k, w in enumerate(words):
-        d = F.coalesce(F.element_at("dfs", F.lit(w)), F.lit(0))
-        idf = F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
-        idf = F.when(idf < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(idf)
-        score = score + F.when(F.col(f"tf{k}") > 0, repeats[w] * idf * F.col(f"tf{k}") * (BM25_K1 + 1) / (F.col(f"tf{k}") + norm)).otherwise(0.0)
-    return docs.select(key, score.alias("bm25")).filter("bm25 > 0")
+
+    def part(word: str) -> Column:
+        tf = F.col(f"tf{words.index(word)}")
+        d = F.coalesce(F.element_at("dfs", F.lit(word)), F.lit(0))
+        weight = F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
+        weight = F.when(weight < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(weight)
+        return F.when(tf > 0, weight * tf * (BM25_K1 + 1) / (tf + norm)).otherwise(0.0)
+
+    scores = [sum((n * part(w) for w, n in sorted(Counter(q).items())), F.lit(0.0)) for q in queries]
+    each = F.array(*[F.struct(F.lit(k).alias("query_no"), s.alias("bm25")) for k, s in enumerate(scores)])
+    return docs.select(key, F.explode(each).alias("s")).select(key, "s.query_no", "s.bm25").filter("bm25 > 0")
+
+
+def postings(df: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(term, key, tf, dl): the inverted index of the rows with text; dl is a row's number of tokens."""
+    docs = df.filter(F.col(text).isNotNull()).select(key, tokenizer(F.col(text)).alias("t"))
+    return docs.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
+
+
+def index_stats(index: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(terms (term, df), corpus (n, avgdl, mean_idf)) of an inverted index; rows without any token count nowhere."""
+    terms = index.groupBy("term").agg(F.count("*").alias("df"))
+    sizes = index.select(key, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = terms.crossJoin(F.broadcast(sizes)).agg(F.avg(idf).alias("mean_idf"))  # sizes and mean have one row
+    return terms, sizes.crossJoin(mean)
+
+
+def bm25_of(index: DataFrame, key: str, query: list[str], stats: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """bm25 from an inverted index: only the postings of the query's terms are read (a filter that reaches the sorted files)."""
+    repeats = Counter(query)
+    if not repeats:
+        return index.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    terms, corpus = stats
+    words = sorted(repeats)
+    times = F.create_map(*[F.lit(x) for w in words for x in (w, repeats[w])])
+    asked = F.broadcast(terms.filter(F.col("term").isin(words)))  # a row a query term
+    hit = index.filter(F.col("term").isin(words)).join(asked, "term").crossJoin(F.broadcast(corpus))  # one row
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weight = F.when(raw < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(raw)
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
+    part = times[F.col("term")] * weight * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
+    return hit.groupBy(key).agg(F.sum(part).alias("bm25")).filter("bm25 > 0")
+
+
+def reranked(df: DataFrame, text: str, question: str, scorer: PairScorer) -> DataFrame:
+    """df with the column rerank: the pair scorer's score of question and text. For the few rows of a result: batches run
+    where the rows are, and the order is the caller's."""
+
+    def run(batches):
+        for b in batches:
+            yield b.append_column("rerank", pa.array(np.asarray(scorer(question, b.column(text).to_pylist()), float), pa.float64()))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "rerank double"])
+    return df.mapInArrow(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,7 +134,9 @@ def fused(vectors: DataFrame, lexical: DataFrame, content: str, weight_vector: f
     score, once for each time. An empty list adds nothing. Both lists are top-k lists."""
     v = vectors.groupBy(content).agg(F.count("*").alias("occ"), F.max("rank").alias("last"), F.min("rank").alias("v_rank")).withColumn("s", 1.0 / F.col("last"))
     b = lexical.groupBy(content).agg(F.count("*").alias("occ"), F.max_by("bm25", "b_rank").alias("s"), F.min("b_rank").alias("b_rank"))
-    scaled = lambda d, w, rank: d.crossJoin(F.broadcast(d.agg(F.max("s").alias("m")))).select(content, F.when(F.col("m") > 0, F.col("occ") * w * F.col("s") / F.col("m")).otherwise(0.0).alias("part"), rank)
+    # Over the k rows of a list; joining its maximum would compute the list a second time.
+    top = F.max("s").over(Window.partitionBy())
+    scaled = lambda d, w, rank: d.withColumn("m", top).select(content, F.when(F.col("m") > 0, F.col("occ") * w * F.col("s") / F.col("m")).otherwise(0.0).alias("part"), rank)
     vs = scaled(v, weight_vector, F.col("v_rank")).withColumn("b_rank", F.lit(None).cast("int"))
     bs = scaled(b, weight_bm25, F.col("b_rank")).withColumn("v_rank", F.lit(None).cast("int"))
     return vs.unionByName(bs).groupBy(content).agg(F.sum("part").alias("score"), F.min("v_rank").alias("v_rank"), F.min("b_rank").alias("b_rank"))
@@ -92,14 +148,19 @@ def fused_order() -> list[Column]:
     return [F.desc(F.round("score", 9)), F.asc_nulls_last("v_rank"), F.asc_nulls_last("b_rank")]
 
 
-def hybrid(df: DataFrame, key: str, text: str, vector: str, query_text: list[str], query_vector: list[float], top_k: int = TOP_K, conditions: dict | None = None, stats=None) -> DataFrame:
-    """(key, score): vector list under the filter and unfiltered BM25 list, fused on the key, filtered again, cut to top_k."""
+def hybrid(
+    df: DataFrame, key: str, text: str, vector: str, query_text: list[str], query_vector: list[float], top_k: int = TOP_K, conditions: dict | None = None, stats=None, index: DataFrame | None = None, cut_to_k: bool = True
+) -> DataFrame:
+    """(key, score): vector list under the filter and unfiltered BM25 list, fused on the key, filtered again, cut to top_k.
+
+    index: an inverted index of df with its stats, else df is scored where it is. cut_to_k=False leaves all fused rows."""
     k = max(4 * top_k, 20)
     v = vector_topk(matching(df, conditions), key, vector, query_vector, k).select(key, "rank")
-    b = topk(bm25(df, key, text, query_text, stats=stats), "bm25", key, k).withColumn("b_rank", F.row_number().over(Window.orderBy(F.desc("bm25"), key)))
+    scored = bm25_of(index, key, query_text, stats) if index is not None else bm25(df, key, text, query_text, stats=stats)
+    b = topk(scored, "bm25", key, k).withColumn("b_rank", F.row_number().over(Window.orderBy(F.desc("bm25"), key)))
     out = fused(v, b, key)
-    kept = out.join(F.broadcast(out.select(key)), key).join(matching(df, conditions).select(key), key, "left_semi") if conditions else out
-    return kept.orderBy(*fused_order(), key).limit(top_k)
+    kept = out.join(matching(df, conditions).select(key), key, "left_semi") if conditions else out
+    return kept.orderBy(*fused_order(), key).limit(top_k) if cut_to_k else kept
 
 
 def matching(df: DataFrame, conditions: dict | None) -> DataFrame:
@@ -142,6 +203,13 @@ def supplemented(found: DataFrame, more: DataFrame, content: str, prefix: int =
     return found.unionByName(more.withColumn("__p", F.substring(content, 1, prefix)).join(seen, "__p", "left_anti").drop("__p"))
 
 
+def version_supplement(rows: DataFrame, found: DataFrame, wanted: list[str], text: str, key: str, question: str, scorer: PairScorer, most: int) -> DataFrame:
+    """Up to `most` rows of the wanted versions whose first 100 characters no found row has, best by the pair scorer."""
+    seen = found.select(F.substring(text, 1, 100).alias("__p")).distinct()
+    more = rows.filter(F.col("version").isin(*wanted)).withColumn("__p", F.substring(text, 1, 100)).join(seen, "__p", "left_anti").drop("__p")
+    return reranked(more, text, question, scorer).orderBy(F.desc("rerank"), key).limit(most)
+
+
 def parents(hits: DataFrame, rows: DataFrame, parent: str, rank: str) -> DataFrame:
     """Parent rows of child hits, each once, by the best rank of its children."""
     best = hits.groupBy(parent).agg(F.min(rank).alias("best_rank"))

@@ -57,6 +57,32 @@ def resolve(df: DataFrame, wanted: str | None, strict: bool = False) -> list[str
     return [v for v in every if text in v]
 
 
+def requested(df: DataFrame, wanted: str | None) -> tuple[list[str], str | None]:
+    """(versions, document name) that a comma-separated request stands for: each part a version expression, but the last part
+    that is a document's name and no version keyword. Versions come newest first, each once."""
+    parts = [x.strip() for x in (wanted or "").split(",") if x.strip()]
+    keywords = tuple(w for words in VERSION_WORDS.values() for w in words) + ("前",)
+    found, name = set(), None
+    for part in parts:
+        if not part.lower().startswith(keywords) and _is_name(part):
+            name = part
+        else:
+            found |= set(resolve(df, part))
+    return sorted(found, reverse=True), name
+
+
+def _is_name(text: str) -> bool:
+    """is_document_name of one text, on the driver."""
+    if re.fullmatch(r"\d[_\-\d]{5,19}", text):
+        return False
+    return text.lower() in NAME_SUFFIXES or not re.fullmatch(r"\d{4,8}", text)
+
+
+def of_versions(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of any of the versions; none wanted, none found."""
+    return df.filter(F.col("version").isin(*wanted)) if wanted else df.limit(0)
+
+
 def filtered(df: DataFrame, wanted: str | None, strict: bool = False) -> DataFrame:
     """Rows of the newest version that an expression stands for. One that matches nothing filters nothing, unless strict."""
     hit = resolve(df, wanted)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACES, literal_contains, normalise
 from ..operators import cases, chunk, clean, incremental, labels, manifest, search, structure, versions
 from ..operators.tables import markdown_rows
+from ..plugins import overlap_scorer
 from ..rules import APPROVAL_STARTS, PAGE_LINES, REAL_HEADINGS, SCENARIO_WORDS, TITLE_WORDS, WATERMARK_LINES
 from ..session import cut, table
 from .statements import statements
@@ -215,25 +216,73 @@ def metadata_filter(s, sf):
 
 
 def name_boost(s, sf):
-    rows = _kb(s, sf).withColumn("score", F.coalesce(F.col("original_length"), F.lit(0)).cast("double"))
-    order = [*search.name_first(rows, "tags", "source", "score", "临时"), F.col("record_id")]
-    return rows.orderBy(*order).limit(50).select("record_id", search.tag_level(F.col("tags"), "临时").alias("level"))
+    """All rows with their place among their like: those with the name in a tag, by level, and the rest, by score."""
+    rows = _kb(s, sf).select("record_id", F.coalesce(F.col("original_length"), F.lit(0)).alias("score"), search.tag_level(F.col("tags"), "临时").alias("level"))
+    return rows.select("record_id", "level", F.when(F.col("level").isNotNull(), 0).otherwise(1).alias("block"), F.when(F.col("level").isNull(), F.col("score")).alias("score"))
 
 
 def version_boost(s, sf):
+    """All rows, those of the three newest versions in the first block of the order."""
     rows = _kb(s, sf)
     newest = [r.version for r in versions.versions(rows).limit(3).collect()]
-    return rows.orderBy(*search.version_first(newest, "record_id")).limit(50).select("record_id", F.coalesce(F.col("version").isin(*newest), F.lit(False)).alias("boosted"))
+    boosted = F.coalesce(F.col("version").isin(*newest), F.lit(False))
+    return rows.select("record_id", boosted.alias("boosted"), F.when(boosted, 0).otherwise(1).alias("block"))
 
 
-def multi_query_union(s, sf):
-    docs, parts = _docs(s, sf), None
-    stats = search.corpus_stats(docs, "text")
-    for no, terms in enumerate((["system"], ["approval"], ["同", "步"])):
-        top = search.topk(search.bm25(docs, "doc_id", "text", terms, stats=stats), "bm25", "doc_id", 20)
-        top = top.withColumns({"query_no": F.lit(no), "rank": F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id"))})
+def version_in(s, sf):
+    """Rows of any of the versions of a comma-separated request."""
+    rows = _kb(s, sf)
+    return versions.of_versions(rows, versions.requested(rows, "最新, 第三新")[0]).select("record_id", "version")
+
+
+THREE_QUERIES = [["system"], ["approval"], ["同", "步"]]
+
+
+def _three_lists(df, key, text, k):
+    """Top k of each of the three queries, from one pass over the texts."""
+    scored, parts = cut(search.bm25_many(df, key, text, THREE_QUERIES)), None
+    for no in range(len(THREE_QUERIES)):
+        top = search.topk(scored.filter(F.col("query_no") == no), "bm25", key, k)
+        top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bm25"), key)))
         parts = top if parts is None else parts.unionByName(top)
-    return search.first_seen(parts.select("doc_id", "query_no", "rank"), "query_no", "rank", "doc_id")
+    return parts.select(key, "query_no", "rank")
+
+
+def multi_query_union(s, sf):
+    return search.first_seen(_three_lists(_docs(s, sf), "doc_id", "text", 20), "query_no", "rank", "doc_id")
+
+
+QUESTION = "system approval 同步"
+
+
+def rerank_topk(s, sf):
+    """The BM25 list of the question's terms, in order of the pair scorer."""
+    docs = _docs(s, sf)
+    top = search.topk(search.bm25(docs, "doc_id", "text", QUERY_TERMS), "bm25", "doc_id", 20)
+    rows = search.reranked(docs.select("doc_id", "text").join(F.broadcast(top), "doc_id"), "text", QUESTION, overlap_scorer)  # 20 rows
+    return rows.orderBy(F.desc("rerank"), F.desc("bm25"), "doc_id").limit(10).select("doc_id", F.round("rerank", 6).alias("rerank"))
+
+
+def version_supplement(s, sf):
+    """More rows of the three newest versions than a search of the word files found."""
+    rows = _kb(s, sf).filter("page_content is not null").select("record_id", "page_content", "version", "type", "module")
+    newest = [r.version for r in versions.versions(rows).limit(3).collect()]
+    found = search.matching(rows, {"type": "word", "module": "仓储"})
+    more = search.version_supplement(rows, found, newest, "page_content", "record_id", QUESTION, overlap_scorer, 20)
+    return more.select("record_id", F.round("rerank", 6).alias("rerank"))
+
+
+def multi_query_full(s, sf):
+    """Several queries in full: first-seen union by content, rows of the newest versions added, reranked, rows with the name in a tag first."""
+    rows = _kb(s, sf).filter("page_content is not null").select("record_id", "page_content", "version", "tags")
+    newest = [r.version for r in versions.versions(rows).limit(3).collect()]
+    lists = rows.join(F.broadcast(_three_lists(rows, "record_id", "page_content", 20)), "record_id")  # 60 rows
+    found = cut(search.first_seen(lists, "query_no", "rank", "page_content"))
+    more = search.version_supplement(rows, found, newest, "page_content", "record_id", QUESTION, overlap_scorer, 10)
+    every = found.select("record_id", "page_content", "version", "tags").unionByName(more.select("record_id", "page_content", "version", "tags"))
+    scored = search.reranked(every, "page_content", QUESTION, overlap_scorer)
+    named = F.coalesce(search.tag_level(F.col("tags"), "临时").isNotNull(), F.lit(False))
+    return scored.orderBy(F.when(named, 0).otherwise(1), F.desc("rerank"), "record_id").limit(20).select("record_id", F.round("rerank", 6).alias("rerank"))
 
 
 def supplement_unseen(s, sf):
@@ -367,7 +416,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         line_filter region_approval region_metadata region_toc table_separators cleaned_pages title_tags intro_tags doc_name_version_tag all_tags module_name
         scenario_type scenario_word_counts entity_extract rule_extract test_point_extract scenario_sections sentence_split clause_split table_lines chunk_types
         split_text_pack semantic_chunks markdown_table corpus_terms bm25_topk vector_topk filtered_vector_topk hybrid_topk tag_contains metadata_filter
-        name_boost version_boost multi_query_union supplement_unseen parent_recall history_text context_block version_list version_latest
+        name_boost version_boost version_in rerank_topk version_supplement multi_query_full multi_query_union supplement_unseen parent_recall history_text context_block version_list version_latest
         version_second_by_module version_by_name document_name_input manifest_latest changed_files manifest_upsert build_status list_page scan_intervals
         p4_found orphan_steps attach_steps case_numbers case_name_dedup case_sheet case_report case_counts json_parse reply_cases""".split()
     return {n: globals()[n] for n in names}
@@ -406,13 +455,17 @@ def oracle_sql() -> dict[str, str]:
     main = f"(coalesce(step_id, 0) = 1 AND {name} <> '')"
     toks = "regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')"
 
-    def bm25(terms, limit):
+    newest = "page_content IS NOT NULL AND version IN (SELECT DISTINCT version FROM kb_document WHERE page_content IS NOT NULL AND version IS NOT NULL ORDER BY 1 DESC LIMIT 3)"
+    share = lambda c: f"(len(list_filter(['system', 'approval', '同', '步'], lambda w: list_contains(regexp_extract_all(lower({c}), '[a-z0-9]+|[一-鿿]'), w))) / 4.0)"
+
+    def bm25(terms, limit, source="documents", key="doc_id", text="text"):
+        toks = f"regexp_extract_all(lower({text}), '[a-z0-9]+|[一-鿿]')"
         per = " + ".join(
             f"CASE WHEN tf{k} > 0 THEN {terms.count(w)} * (SELECT CASE WHEN i < 0 THEN 0.25 * (SELECT m FROM mi) ELSE i END FROM (SELECT coalesce((SELECT idf FROM idf WHERE term = '{w}'), 0) AS i)) * tf{k} * 2.5 / (tf{k} + 1.5 * (0.25 + 0.75 * dl / (SELECT a FROM c))) ELSE 0 END"
             for k, w in enumerate(sorted(set(terms)))
         )
         tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{k}" for k, w in enumerate(sorted(set(terms))))
-        return f"(WITH d AS (SELECT doc_id, {toks} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM d) GROUP BY 1), idf AS (SELECT term, ln(c.n - df + 0.5) - ln(df + 0.5) AS idf FROM df, c), mi AS (SELECT avg(idf) AS m FROM idf), s AS (SELECT doc_id, len(t) AS dl, {tf} FROM d) SELECT doc_id, {per} AS bm25 FROM s WHERE {per} > 0 ORDER BY bm25 DESC, doc_id LIMIT {limit})"
+        return f"(WITH d AS (SELECT {key}, {toks} AS t FROM {source} WHERE {text} IS NOT NULL), c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM d) GROUP BY 1), idf AS (SELECT term, ln(c.n - df + 0.5) - ln(df + 0.5) AS idf FROM df, c), mi AS (SELECT avg(idf) AS m FROM idf), s AS (SELECT {key}, len(t) AS dl, {tf} FROM d) SELECT {key}, {per} AS bm25 FROM s WHERE {per} > 0 ORDER BY bm25 DESC, {key} LIMIT {limit})"
 
     qv = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
     sim = f"round(list_dot_product(embedding::DOUBLE[], {qv}::DOUBLE[]), 6)"
@@ -445,9 +498,14 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_topk": f"WITH v AS ({vec('true', 20)}), b AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS b_rank FROM {bm25(QUERY_TERMS, 20)}), u AS (SELECT vec_id AS doc_id, 0.5 * (1.0 / rank) / (SELECT max(1.0 / rank) FROM v) AS part, rank AS v_rank, NULL AS b_rank FROM v UNION ALL SELECT doc_id, 0.3 * bm25 / (SELECT max(bm25) FROM b), NULL, b_rank FROM b) SELECT doc_id, round(sum(part), 6) AS score FROM u GROUP BY 1 ORDER BY round(sum(part), 9) DESC, min(v_rank) NULLS LAST, min(b_rank) NULLS LAST, doc_id LIMIT 10",
         "tag_contains": f"SELECT record_id, CAST({level} AS INT) AS level FROM kb_document WHERE len(list_filter(tags, lambda t: contains(t, '临时'))) > 0",
         "metadata_filter": "SELECT record_id FROM kb_document WHERE type = 'word' AND module = '仓储'",
-        "name_boost": f"SELECT record_id, CAST({level} AS INT) AS level FROM kb_document ORDER BY CASE WHEN {level} IS NOT NULL THEN 0 ELSE 1 END, {level} DESC NULLS LAST, CASE WHEN {level} IS NOT NULL THEN list_extract(string_split(replace(source, '\\', '/'), '/'), -1) END NULLS FIRST, coalesce(original_length, 0) DESC, record_id LIMIT 50",
-        "version_boost": "WITH n AS (SELECT DISTINCT version FROM kb_document WHERE version IS NOT NULL ORDER BY 1 DESC LIMIT 3) SELECT record_id, coalesce(version IN (SELECT version FROM n), false) AS boosted FROM kb_document ORDER BY CASE WHEN version IN (SELECT version FROM n) THEN 0 ELSE 1 END, record_id LIMIT 50",
-        "multi_query_union": "SELECT doc_id, CAST(query_no AS INT) AS query_no, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_no, rank) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS query_no, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM {bm25(t, 20)}" for k, t in enumerate((["system"], ["approval"], ["同", "步"]))) + ")) WHERE n = 1",
+        "name_boost": f"SELECT record_id, CAST(l AS INT) AS level, CASE WHEN l IS NULL THEN 1 ELSE 0 END AS block, CASE WHEN l IS NULL THEN coalesce(original_length, 0) END AS score FROM (SELECT *, {level} AS l FROM kb_document)",
+        "version_boost": "WITH n AS (SELECT DISTINCT version FROM kb_document WHERE version IS NOT NULL ORDER BY 1 DESC LIMIT 3) SELECT record_id, coalesce(version IN (SELECT version FROM n), false) AS boosted, CASE WHEN version IN (SELECT version FROM n) THEN 0 ELSE 1 END AS block FROM kb_document",
+        "version_in": "WITH n AS (SELECT version, row_number() OVER (ORDER BY version DESC) AS r FROM (SELECT DISTINCT version FROM kb_document WHERE version IS NOT NULL)) SELECT record_id, version FROM kb_document WHERE version IN (SELECT version FROM n WHERE r IN (1, 3))",
+        "rerank_topk": f"SELECT doc_id, round({share('text')}, 6) AS rerank FROM {bm25(QUERY_TERMS, 20)} JOIN documents USING (doc_id) ORDER BY {share('text')} DESC, bm25 DESC, doc_id LIMIT 10",
+        "version_supplement": f"SELECT record_id, round({share('page_content')}, 6) AS rerank FROM kb_document WHERE {newest} AND substr(page_content, 1, 100) NOT IN (SELECT substr(page_content, 1, 100) FROM kb_document WHERE page_content IS NOT NULL AND type = 'word' AND module = '仓储') ORDER BY {share('page_content')} DESC, record_id LIMIT 20",
+        "multi_query_full": f"WITH l AS ({' UNION ALL '.join(f'SELECT record_id, {k} AS query_no, row_number() OVER (ORDER BY bm25 DESC, record_id) AS rank FROM {bm25(t, 20, "kb_document", "record_id", "page_content")}' for k, t in enumerate(THREE_QUERIES))}), f AS (SELECT k.* FROM l JOIN kb_document k USING (record_id) QUALIFY row_number() OVER (PARTITION BY page_content ORDER BY query_no, rank) = 1), "
+        f"m AS (SELECT * FROM kb_document WHERE {newest} AND substr(page_content, 1, 100) NOT IN (SELECT substr(page_content, 1, 100) FROM f) ORDER BY {share('page_content')} DESC, record_id LIMIT 10) SELECT record_id, round({share('page_content')}, 6) AS rerank FROM (SELECT record_id, page_content, tags FROM f UNION ALL SELECT record_id, page_content, tags FROM m) ORDER BY CASE WHEN len(list_filter(tags, lambda t: contains(t, '临时'))) > 0 THEN 0 ELSE 1 END, {share('page_content')} DESC, record_id LIMIT 20",
+        "multi_query_union": "SELECT doc_id, CAST(query_no AS INT) AS query_no, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_no, rank) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS query_no, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM {bm25(t, 20)}" for k, t in enumerate(THREE_QUERIES)) + ")) WHERE n = 1",
         "supplement_unseen": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND source = 'wiki_warehouse' UNION ALL SELECT doc_id FROM documents WHERE text IS NOT NULL AND source LIKE 'share%' AND substr(text, 1, 100) NOT IN (SELECT substr(text, 1, 100) FROM documents WHERE text IS NOT NULL AND source = 'wiki_warehouse')",
         "parent_recall": "SELECT conv_id, (SELECT count(*) FROM message x WHERE x.conv_id = m.conv_id) AS messages, min(turn) AS first_turn FROM message m WHERE contains(content, '同步') AND conv_id IS NOT NULL GROUP BY conv_id",
         "history_text": "SELECT conv_id, string_agg(r || ': ' || content, chr(10) ORDER BY turn NULLS FIRST, r, content) AS history FROM (SELECT DISTINCT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN 'user' ELSE 'assistant' END AS r, content FROM message WHERE content IS NOT NULL) GROUP BY conv_id",

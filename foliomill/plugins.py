@@ -73,6 +73,29 @@ class EchoChat:
         return True
 
 
+class VisionClient(Protocol):
+    def describe(self, image: bytes) -> str: ...
+
+
+class SizeVision:
+    """Stand-in for a vision model: names an image by its format and bytes."""
+
+    def describe(self, image: bytes) -> str:
+        kind = "png" if image[:4] == b"\x89PNG" else "jpeg" if image[:2] == b"\xff\xd8" else "image"
+        return f"{kind}, {len(image)} bytes"
+
+
+def rewritten(chat: ChatClient, question: str, most: int = 2) -> list[str]:
+    """The question and up to `most` rewritings of it, a line each of the reply; where the client fails, the question alone."""
+    if isinstance(chat, EchoChat):
+        return [question]
+    try:
+        reply = chat.chat([{"role": "user", "content": f"Rewrite this search question in {most} other ways, one a line, nothing else:\n{question}"}])
+    except Exception:  # noqa: BLE001 - a search must not fail with its rewriting
+        return [question]
+    return [question, *[x.strip() for x in reply.split("\n") if x.strip()][:most]]
+
+
 CHAT_CLIENTS: dict[str, Callable[..., ChatClient]] = {"echo": EchoChat}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
+from ..plugins import VisionClient
 from ..rules import DECODERS, SUFFIXES
 from ..session import ship
 from . import office
@@ -19,8 +20,8 @@ SCHEMA = "source string, file_hash string, size long, modified_at timestamp, typ
 UNSUPPORTED = (".doc", ".xls", ".ppt", ".vsd", ".pdf")
 
 
-def scan(spark: SparkSession, path: str, suffixes=SUFFIXES) -> DataFrame:
-    """Files below path by lower-cased suffix, with their bytes; reading only other columns doesn't load them."""
+def scan(spark: SparkSession, path: str | list[str], suffixes=SUFFIXES) -> DataFrame:
+    """Files below a path, or of a list of paths, by lower-cased suffix, with their bytes; reading only other columns doesn't load them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract(basename(F.col("path")), r"(\.[^.]+)$", 1))
     return files.withColumn("suffix", suffix).filter(F.col("suffix").isin(*suffixes))
@@ -53,9 +54,10 @@ def parts_of(suffix: str, content: bytes) -> list[dict]:
     return [{"text": text, "type": suffix[1:], "table_count": 0}]
 
 
-def load_documents(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+def load_documents(spark: SparkSession, path: str | list[str], version: str | None = None, only: DataFrame | None = None, vision: VisionClient | None = None) -> DataFrame:
     """A row a document part: source, file_hash (MD5 of the content), version, text. A file that can't be parsed gives one row
-    with the error and a null text; nothing stops the others."""
+    with the error and a null text; nothing stops the others. only: (path) of the files wanted. vision describes the
+    images of a document; each gets a numbered line behind its text."""
     ship(spark)
 
     def run(batches):
@@ -65,13 +67,17 @@ def load_documents(spark: SparkSession, path: str, version: str | None = None) -
                 base = {"source": r["path"], "file_hash": r["file_hash"], "size": r["length"], "modified_at": r["modificationTime"]}
                 try:
                     for k, d in enumerate(parts_of(r["suffix"], r["content"])):
+                        if vision is not None and r["suffix"] == ".docx":
+                            d["text"] += "".join(f"\n\n[image {i}: {name.rsplit('/', 1)[-1]}] {vision.describe(image)}" for i, (name, image) in enumerate(office.docx_images(r["content"]), 1))
                         rows.append(base | {"type": d["type"], "part": k, "page_content": d["text"], "table_count": d["table_count"], "error": None})
                 except Exception as x:  # noqa: BLE001 - any damage of a file is reported as its row
                     rows.append(base | {"type": r["suffix"][1:], "part": 0, "page_content": None, "table_count": 0, "error": f"{type(x).__name__}: {x}"[:200]})
             kinds = {"source": pa.string(), "file_hash": pa.string(), "size": pa.int64(), "modified_at": pa.timestamp("us", "UTC"), "type": pa.string(), "part": pa.int32(), "page_content": pa.string(), "table_count": pa.int32(), "error": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in kinds.items()], names=list(kinds))
 
-    files = scan(spark, path).withColumn("file_hash", F.md5("content")).select("path", "file_hash", "length", "modificationTime", "suffix", "content")
+    found = scan(spark, path)
+    found = found.join(only, "path", "left_semi") if only is not None else found
+    files = found.withColumn("file_hash", F.md5("content")).select("path", "file_hash", "length", "modificationTime", "suffix", "content")
     stamp = F.lit(version) if version else F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
     return files.mapInArrow(run, SCHEMA).withColumn("version", stamp)
 

@@ -283,7 +283,8 @@ def zipped(**members):
     return out.getvalue()
 
 
-def test_sources_and_engine(spark, tmp_path):
+def test_sources_and_engine(spark, tmp_path, monkeypatch):
+    from foliomill import engine
     from foliomill.engine import KnowledgeBase
     from foliomill.sources import files, office
 
@@ -304,17 +305,67 @@ def test_sources_and_engine(spark, tmp_path):
     got = {r.source.rsplit("/", 1)[-1]: r for r in files.load_documents(spark, f"file://{tmp_path}/src", "20240101_000000").collect()}
     assert set(got) == {"a.md", "b.csv", "bad.docx"} and got["b.csv"].page_content == "名: 甲\n值: 1" and got["bad.docx"].page_content is None
     kb = KnowledgeBase(spark, f"file://{tmp_path}/kb")
+    commit, kb._commit = kb._commit, lambda *a: (_ for _ in ()).throw(OSError("the driver is lost"))
+    with pytest.raises(OSError):
+        kb.build(f"file://{tmp_path}/src", "20240101_000000")
+    assert kb.chunks().isEmpty() and kb.state().isEmpty()
+    kb._commit = commit
     assert kb.build(f"file://{tmp_path}/src", "20240101_000000") == 2
+    once = kb.chunks().count()
+    assert once and kb.chunks().select("chunk_id").distinct().count() == once
+    opened = []
+    monkeypatch.setattr(engine, "load_documents", lambda s, p, *a: opened.append(p) or files.load_documents(s, p, *a))
     assert kb.build(f"file://{tmp_path}/src", "20240102_000000") == 0
+    assert all(p.endswith("bad.docx") for batch in opened for p in batch)  # what failed is tried again, nothing else is opened
+    (src / "c.txt").write_text("出库单与同步状态的核对说明，" * 8, "utf-8")
+    opened.clear()
+    assert kb.build(f"file://{tmp_path}/src", "20240102_000000") == 1 and sorted(p.rsplit("/", 1)[-1] for p in opened[0]) == ["bad.docx", "c.txt"]
     hit = kb.retrieve("同步状态").collect()
-    assert hit and hit[0].module == "仓储"
+    assert hit and {r.module for r in hit} == {"仓储"} and hit[0].rerank >= hit[-1].rerank
     assert "同步" in kb.ask("同步状态")
+    assert kb.retrieve("同步状态", "20240102_000000").count() == kb.retrieve("同步", "c_V20240102_000000").filter("source like '%c.txt'").count() == 1
     assert kb.filtered_retrieve("同步状态", {"module": "仓储"}).count() and kb.advanced_retrieve("同步状态", conditions={"module": "无"}).isEmpty()
-    assert kb.parent_retrieve("同步状态").first().source.endswith("a.md")
-    assert kb.multi_retrieve("同步状态", ["库存数量"]).count() == kb.multi_retrieve("同步状态", []).count() == 1
-    assert kb.advanced_retrieve("库存", [{"role": "user", "content": "同步"}]).count() == 1
-    kb.delete(hit[0].source)
-    assert kb.chunks().filter(F.col("source") == hit[0].source).isEmpty()
+    assert {r.source.rsplit("/", 1)[-1] for r in kb.parent_retrieve("同步状态").collect()} == {"a.md", "c.txt"}
+    assert kb.multi_retrieve("同步状态", ["库存数量"]).count() == kb.multi_retrieve("同步状态", []).count() == 2
+    assert kb.requested_retrieve("同步", "oldest, c_V").first().source.endswith("c.txt")
+    assert kb.preview(kb.retrieve("同步")).columns == ["source", "version", "preview"]
+    assert kb.advanced_retrieve("库存", [{"role": "user", "content": "同步"}]).count()
+    kb.add_documents(spark.createDataFrame([("note", "h", "20240103_000000", "txt", 0, "同步补充说明。" * 10)], "source string, file_hash string, version string, type string, part int, page_content string"))
+    assert not kb.chunks().filter("source = 'note'").isEmpty() and "note" in {r.source for r in kb.retrieve("同步补充").collect()}
+    kb.delete("note")
+    assert kb.chunks().filter("source = 'note'").isEmpty() and "note" not in {r.source for r in kb.retrieve("同步补充").collect()}
+    assert kb.build(f"file://{tmp_path}/src", "20240104_000000", rebuild=True) == 3 and {r.version for r in kb.chunks().collect()} == {"20240104_000000"}
+
+
+def test_inverted_index_scores_as_the_scan(spark):
+    df = spark.createDataFrame([(1, "a a b"), (2, "a c"), (3, "a d d"), (4, "b"), (5, None)], "k long, t string")
+    index = search.postings(df, "k", "t")
+    stats = search.index_stats(index, "k")
+    for q in (["a", "d", "d"], ["b"], ["zz"], []):
+        want = {r.k: round(r.bm25, 9) for r in search.bm25(df, "k", "t", q).collect()}
+        assert {r.k: round(r.bm25, 9) for r in search.bm25_of(index, "k", q, stats).collect()} == want
+
+
+def test_requests_rewrites_and_chat_tags(spark):
+    from foliomill.plugins import EchoChat, rewritten
+
+    class Scripted:
+        def __init__(self, reply):
+            self.reply = reply
+
+        def chat(self, messages):
+            if self.reply is None:
+                raise OSError("no line")
+            return self.reply
+
+    df = spark.createDataFrame([("20240101_000000", "a/x.docx"), ("20240201_000000", "a/y.docx"), ("20240301_000000", "a/y.docx")], "version string, source string")
+    assert versions.requested(df, "20240101_000000, 第二新, 手册") == (["20240201_000000", "20240101_000000"], "手册")
+    assert versions.requested(df, None) == ([], None) and versions.requested(df, "最新") == (["20240301_000000"], None)
+    assert versions.of_versions(df, ["20240101_000000", "20240301_000000"]).count() == 2 and versions.of_versions(df, []).isEmpty()
+    assert rewritten(Scripted(" a \n\nb\nc"), "q") == ["q", "a", "b"] and rewritten(Scripted(None), "q") == ["q"] and rewritten(EchoChat(), "q") == ["q"]
+    rows = spark.createDataFrame([(0, "x" * 600, ""), (1, "x" * 600, ""), (3, "short", "title"), (6, "short", ""), (9, None, "t")], "n int, t string, h string")
+    got = {r.n: r.chat_tags for r in labels.chat_tags(rows, "t", "h", "n", Scripted("a, b., ,c,d,e,f")).collect()}
+    assert got == {0: ["a", "b", "c", "d", "e"], 1: [], 3: ["a", "b", "c", "d", "e"], 6: [], 9: []}
 
 
 def test_generation_loop_and_workbook(spark, tmp_path):
