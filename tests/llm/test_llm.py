@@ -340,12 +340,71 @@ def test_perplexity_bands(spark):
     from foliomill.llm.perplexity import perplexity_bands
 
     rng = random.Random(12)
-    rows = [(k, text(60, rng)) for k in range(300)] + [(900, "".join(rng.choice("qwxyz0!?") for _ in range(400))), (901, None), (902, "ab"), (903, text(3, rng) * 60)]
+    rows = [(k, text(60, rng)) for k in range(300)] + [(900, "".join(rng.choice("qwxyz0!?") for _ in range(400))), (901, None), (902, "ab"), (903, text(3, rng) * 60), (904, (text(60, rng) + " ") * 2)]
     got = {r.id: r for r in perplexity_bands(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
     assert got[900].verdict == "high" and got[902].verdict == "kept" and 901 not in got
+    # Few words said over and over are below the band; an ordinary text said twice is not, so p10_found measures repetition itself.
+    assert got[903].verdict == "low" and got[904].verdict == "kept"
     assert sum(r.verdict == "kept" for r in got.values()) > 280
 
 
+@pytest.mark.parametrize("most", [3, 12, 10**6])
+def test_pruned_models_stay_small_and_sum_to_one(spark, monkeypatch, most):
+    from foliomill.llm import perplexity
+
+    monkeypatch.setattr(perplexity, "MOST_TRIGRAMS", most)
+    monkeypatch.setattr(perplexity, "MOST_BIGRAMS", most)
+    rng = random.Random(31)
+    rows = [("".join(rng.choice("aaabbc") for _ in range(200)),) for _ in range(6)] + [(None,), ("",), ("a",)]
+    model = perplexity.train(spark.createDataFrame(rows, "t string"), "t")
+    assert len(model.g3) <= most and len(model.g2) <= 3 * most
+    pack = lambda s: (ord(s[0]) << 42) | (ord(s[1]) << 21) | ord(s[2])
+    for ctx in ("aa", "ab", "cb", "cc"):
+        assert abs(np.exp(model.log_p(np.array([pack(ctx + c) for c in "abc"])).astype(float)).sum() - 1) < 1e-3
+    empty = perplexity.train(spark.createDataFrame([(None,)], "t string"), "t")
+    assert not len(empty.g3)
+
+
+def test_capped_sources_reach_their_cap_without_iterating(spark):
+    rows = [(k, "s", 1) for k in range(1000)] + [(5000, "s", 100_000), (6000, "t", 5)]
+    counts = spark.createDataFrame(rows, "key long, source string, tokens long")
+    goals = spark.createDataFrame([("s", 202_000.0, 2.0, 101_000 / 1001, 1001), ("t", 5.0, float("inf"), 5.0, 1)], "source string, goal double, cap double, mean double, n long")
+    rates, rounds = mixing.balanced_rates(counts, goals)
+    got = {r.key: r.copies for r in mixing.rounded(counts, rates).collect()}
+    assert rounds <= 2 and set(got.values()) == {1, 2} and got[6000] == 1 and sum(got[k] * n for k, s, n in rows if s == "s") == 202_000
+
+
+def test_leaks_in_text_that_many_items_share(spark):
+    rng = random.Random(37)
+    stock = text(40, rng)
+    items = [(k, f"{stock} {text(30, rng)}") for k in range(40)] + [(90, "a" * 400), (91, "ab" * 200), (92, "a" * 119 + "b" * 119)]
+    docs = [(1, text(20, rng) + stock + text(20, rng)), (2, "a" * 3000), (3, "ba" * 900), (4, items[5][1]), (5, "b" * 119 + "c" + "a" * 119)]
+    flat = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    want = {(d, i) for d, x in docs for i, y in items if any(flat(y)[k : k + 120] in flat(x) for k in range(len(flat(y)) - 119))}
+    got = leak.leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t", 120)
+    assert {(r.d, r.i) for r in got.collect()} == want and len(want) > 80
+
+
+def test_long_sequences_are_grown_to_their_end(spark):
+    notice = ["Legal notice", "All rights reserved", "Do not print", "Ask the owner", "Share this page"]
+    rows = [(k, "\n".join([*notice, f"own {chr(97 + k)}{chr(98 + k)}"]), "s") for k in range(12)]
+    got = houselines.frequent_sequences(spark.createDataFrame(rows, "id long, t string, src string"), "id", "t", "src")
+    assert {(r.length, r.support) for r in got.collect()} == {(n, 12) for n in range(1, 6)}
+    assert got.count() == 31
+
+
+def test_a_bucket_of_unlike_texts_ends_in_one_round(spark, monkeypatch):
+    rng = random.Random(41)
+    keys = spark.createDataFrame([(7, k) for k in range(3000)], "bucket long, key long")
+    monkeypatch.setattr(neardup, "covering_keys", lambda heads, rounds: keys)
+    bits = lambda: rng.randbytes(32) + b"\xff" * 32
+    heads = spark.createDataFrame([(k, bytearray(rng.randbytes(168)), bytearray(bits())) for k in range(3000)], "key long, slots binary, bits binary")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("bucket"))
+    spark.sparkContext.setJobGroup("bucket", "unlike texts")
+    assert neardup.bucket_pairs(heads, 6, 0.6).isEmpty() and jobs() < 40
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_booster_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
