@@ -172,7 +172,8 @@ class History:
             # A text known to the history is linked, and needs no second entry among the keys.
             digests = cut(entries.filter("low is not null"))
             old = self._read(runs["keys"], KEYS, self._touched(digests, "k", runs["keys"])).filter("low is not null").select("k", F.col("low").alias("other"))
-            seen = cut(old.join(bounded(digests), "k").filter("low = other").select("key").distinct())
+            # Compared by their difference: as a second join key they would make the broadcast table thirty times as large.
+            seen = cut(old.join(bounded(digests), "k").filter(F.col("low").bitwiseXOR(F.col("other")) == 0).select("key").distinct())
             fresh = entries.join(bounded(seen), "key", "left_anti")
         per_text = self.rounds * len(MASKS) + 1
         keys = self._write(fresh, "k", stored_rows(entries) - (stored_rows(seen) * per_text if compare else 0))
@@ -182,6 +183,8 @@ class History:
         self._commit(grown)
         if len(grown["keys"]) > MOST_RUNS:
             self.compact()
+        # What a batch broadcast is dropped once the driver's garbage is collected; a process that takes batches for days sees to it.
+        self.spark.sparkContext._jvm.System.gc()
         return linked
 
     def _linked(self, mine: DataFrame, runs: dict, keys: dict, records: dict) -> DataFrame:
