@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import os
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
