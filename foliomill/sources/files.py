@@ -68,7 +68,7 @@ def load_documents(spark: SparkSession, path: str | list[str], version: str | No
                 try:
                     for k, d in enumerate(parts_of(r["suffix"], r["content"])):
                         if vision is not None and r["suffix"] == ".docx":
-                            d["text"] += "".join(f"\n\n[image {i}: {name.rsplit('/', 1)[-1]}] {vision.describe(image)}" for i, (name, image) in enumerate(office.docx_images(r["content"]), 1))
+                            d["text"] += office.image_block([vision.describe(image) for _, image in office.docx_images(r["content"])])
                         rows.append(base | {"type": d["type"], "part": k, "page_content": d["text"], "table_count": d["table_count"], "error": None})
                 except Exception as x:  # noqa: BLE001 - any damage of a file is reported as its row
                     rows.append(base | {"type": r["suffix"][1:], "part": 0, "page_content": None, "table_count": 0, "error": f"{type(x).__name__}: {x}"[:200]})

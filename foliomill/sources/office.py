@@ -28,33 +28,50 @@ def _number(name: str) -> int:
     return int(m.group(1)) if m else 0
 
 
+def _grid(table: ET.Element) -> tuple[list[list[str]], bool]:
+    """Rows of a word table, and whether its first row has a spanning cell. A cell over several columns is followed by blanks, one
+    over several rows shows its text in each."""
+    rows: list[list[str]] = []
+    spans = False
+    for tr in (x for x in table if _tag(x) == "tr"):
+        row: list[str] = []
+        for tc in (x for x in tr if _tag(x) == "tc"):
+            marks = {_tag(x): _attr(x, "val") for x in tc.iter() if _tag(x) in ("gridSpan", "vMerge")}
+            span = int(marks.get("gridSpan") or 1)
+            text = " ".join(filter(None, (_texts(p).strip() for p in tc if _tag(p) == "p")))
+            if "vMerge" in marks and marks["vMerge"] != "restart" and rows and len(row) < len(rows[-1]):
+                text = rows[-1][len(row)]
+            spans |= not rows and span > 1
+            row += [text, *[""] * (span - 1)]
+        rows.append(row)
+    wide = max((len(r) for r in rows), default=0)
+    return [r + [""] * (wide - len(r)) for r in rows], spans
+
+
+def header_label(header: list[str]) -> str:
+    """A table's columns in short: the first five that aren't empty, 20 characters of each."""
+    return " | ".join([c.replace("\n", " ")[:20] for c in header if c][:5])
+
+
 def docx(content: bytes) -> dict:
-    """Paragraphs and tables in body order, joined by empty lines; tables as markdown with spanned cells repeated as blanks."""
+    """Paragraphs and tables in body order, joined by empty lines; tables as markdown. A first row with spanning cells or one
+    distinct text over several columns is the table's title. table_headers has each table's label."""
     root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-    parts, tables = [], 0
+    parts, labels = [], []
     body = next(e for e in root.iter() if _tag(e) == "body")
     for e in body:
         if _tag(e) == "p" and (t := _texts(e).strip()):
             parts.append(t)
         elif _tag(e) == "tbl":
-            rows = []
-            for tr in (x for x in e if _tag(x) == "tr"):
-                row: list[str] = []
-                for tc in (x for x in tr if _tag(x) == "tc"):
-                    span = next((int(_attr(x, "val") or 1) for x in tc.iter() if _tag(x) == "gridSpan"), 1)
-                    row += [" ".join(filter(None, (_texts(p).strip() for p in tc if _tag(p) == "p"))), *[""] * (span - 1)]
-                rows.append(row)
-            wide = max((len(r) for r in rows), default=0)
-            rows = [r + [""] * (wide - len(r)) for r in rows]
-            if rows:
-                tables += 1
-                # A first row with one distinct text over several columns is the table's title.
-                texts = {c for c in rows[0] if c}
-                if wide > 1 and len(texts) == 1 and len(rows) > 1:
-                    parts.append(next(iter(texts)))
+            rows, spans = _grid(e)
+            if rows and rows[0]:
+                texts = [c for c in dict.fromkeys(rows[0]) if c]
+                if len(rows) > 1 and texts and (spans or (len(texts) == 1 and len(rows[0]) > 1)):
+                    parts.append(" ".join(texts))
                     rows = rows[1:]
+                labels.append(header_label(rows[0]))
                 parts.append(markdown_table(rows[0], rows[1:]))
-    return {"text": "\n\n".join(parts), "type": "word", "table_count": tables}
+    return {"text": "\n\n".join(parts), "type": "word", "table_count": len(labels), "table_headers": labels}
 
 
 def xlsx(content: bytes, most_rows: int = 500) -> dict:
@@ -149,4 +166,17 @@ def docx_images(content: bytes) -> list[tuple[str, bytes]]:
     return [(n, z.read(n)) for n in sorted(z.namelist()) if n.startswith("word/media/")]
 
 
+def image_block(descriptions: list[str]) -> str:
+    """What follows a text that has images: a numbered line each."""
+    return "\n\n---\n图片内容:\n" + "\n\n".join(f"[图片{k}: {d}]" for k, d in enumerate(descriptions, 1)) if descriptions else ""
+
+
+def upload_name(name: str) -> str:
+    """A safe file name: one with Han characters keeps its letters, of any other only ASCII word characters, dots and dashes stay."""
+    base = re.split(r"[\\/]", name)[-1]
+    if re.search("[\u4e00-\u9fff]", base):
+        return base
+    return re.sub(r"[^A-Za-z0-9_.-]+", "_", base).strip("._") or "file"
+
+
 PARSERS = {".docx": docx, ".xlsx": xlsx, ".pptx": pptx, ".xmind": xmind, ".vsdx": vsdx}

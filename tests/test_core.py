@@ -368,6 +368,22 @@ def test_requests_rewrites_and_chat_tags(spark):
     assert got == {0: ["a", "b", "c", "d", "e"], 1: [], 3: ["a", "b", "c", "d", "e"], 6: [], 9: []}
 
 
+def test_word_tables_images_and_names():
+    from foliomill.plugins import SizeVision
+    from foliomill.sources import files, office
+
+    p = lambda t: f'<w:p xmlns:w="w"><w:r><w:t>{t}</w:t></w:r></w:p>'
+    cell = lambda t, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{p(t)}</w:tc>"
+    row = lambda *c: f"<w:tr>{''.join(c)}</w:tr>"
+    table = row(cell("Title", '<w:gridSpan w:val="2"/>')) + row(cell("column with a long name"), cell("b")) + row(cell("x", '<w:vMerge w:val="restart"/>'), cell("1")) + row(cell("", "<w:vMerge/>"), cell("2"))
+    got = office.docx(zipped(word__document_xml=f'<w:document xmlns:w="w"><w:body><w:tbl>{table}</w:tbl></w:body></w:document>'))
+    assert got["text"] == "Title\n\n| column with a long name | b |\n|---|---|\n| x | 1 |\n| x | 2 |" and got["table_headers"] == ["column with a long n | b"]
+    assert office.image_block([]) == "" and office.image_block(["a", "b"]).endswith("[图片1: a]\n\n[图片2: b]")
+    assert SizeVision().describe(b"\x89PNG1234") == "png, 8 bytes"
+    assert [office.upload_name(x) for x in ("a/b c.txt", "需求 1.docx", "..\\..", "../../etc/p")] == ["b_c.txt", "需求 1.docx", "file", "p"]
+    assert files.parts_of(".txt", "x".encode())[0]["text"] == "x"
+
+
 def test_generation_loop_and_workbook(spark, tmp_path):
     from foliomill.operators import generate
     from foliomill.sources import office
