@@ -191,6 +191,10 @@ class KnowledgeBase:
     def _reranked(self, rows: DataFrame, question: str) -> DataFrame:
         return search.reranked(rows, "chunk", question, self.scorer) if self.scorer is not None else rows.withColumn("rerank", F.lit(0.0))
 
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """The few rows of a top-k as a table of the driver's: computed once, and no file is left behind for a question."""
+        return self.spark.createDataFrame(rows.toArrow(), rows.schema)
+
     def retrieve(self, question: str, version: str | None = None, top_k: int = TOP_K, conditions: dict | None = None, strict: bool = False) -> DataFrame:
         """Best chunks for a question: BM25 and vector ranks fused under a version expression and equality conditions, then
         reranked. A document's name instead of a version puts that document's chunks first, all of them being candidates."""
@@ -203,7 +207,7 @@ class KnowledgeBase:
                 return rows.withColumns({"score": F.lit(0.0), "rerank": F.lit(0.0)}).limit(0)
             conditions |= {"version": hit[0]} if hit else {}
         best = search.hybrid(rows, "chunk_id", "chunk", "embedding", self._terms(question), self._vector(question), top_k, conditions, stats, postings, cut_to_k=False)
-        found = cut(rows.join(F.broadcast(best), "chunk_id"))  # two lists of top_k * 4
+        found = self._held(rows.join(F.broadcast(best), "chunk_id"))  # two lists of at most max(4 * top_k, 20) rows
         if not name:
             return self._reranked(found, question).orderBy(F.desc("rerank"), *search.fused_order(), "chunk_id").limit(top_k).drop("v_rank", "b_rank")
         more = search.matching(search.with_tag(rows, "tags", name), conditions).withColumns({"score": F.lit(None).cast("double"), "v_rank": F.lit(None).cast("int"), "b_rank": F.lit(None).cast("int")})
@@ -219,7 +223,7 @@ class KnowledgeBase:
             got = self.retrieve(q, top_k=top_k, **options).withColumn("query_no", F.lit(no))
             parts = got if parts is None else parts.unionByName(got)
         ranked = parts.withColumn("rank", -F.col("score"))
-        found = cut(search.first_seen(ranked, "query_no", "rank", "chunk").drop("rerank"))
+        found = self._held(search.first_seen(ranked, "query_no", "rank", "chunk").drop("rerank"))  # three lists of top_k
         if boost_versions:
             extra = search.version_supplement(self.chunks(), found, boost_versions, "chunk", "chunk_id", question, self.scorer or overlap_scorer, top_k).drop("rerank")
             none = {"score": F.lit(None).cast("double"), "query_no": F.lit(len(asked)), "rank": F.lit(None).cast("double")}
@@ -237,7 +241,7 @@ class KnowledgeBase:
 
     def parent_retrieve(self, question: str, top_k: int = TOP_K, **options) -> DataFrame:
         """Whole files of the best chunks: their chunks joined in order, each file once, by its best chunk."""
-        hits = cut(self.retrieve(question, top_k=2 * top_k, **options).select("source", (-F.col("score")).alias("rank")))
+        hits = self._held(self.retrieve(question, top_k=2 * top_k, **options).select("source", (-F.col("score")).alias("rank")))
         found = search.parents(hits, self.chunks().join(F.broadcast(hits.select("source").distinct()), "source", "left_semi"), "source", "rank")
         texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "part", "section_index", "chunk_index", "chunk"))), lambda x: x["chunk"]), "\n\n")
         return found.groupBy("source").agg(texts.alias("text"), F.min("best_rank").alias("best_rank")).orderBy("best_rank", "source").limit(top_k)
