@@ -44,6 +44,17 @@ def encoder(path: str, pattern: str):
     return _ENCODERS[path]
 
 
+def token_count(enc, text: str) -> int:
+    """Tokens of a text. The tokenizer's own matcher panics at blank runs of about a million characters; its splitter in Python,
+    which gives the same pieces, counts such a text."""
+    try:
+        return len(enc.encode_ordinary(text))
+    except BaseException as panic:  # a panic isn't an Exception
+        if type(panic).__name__ != "PanicException":
+            raise
+    return len(enc._encode_only_native_bpe(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")))
+
+
 def token_counts(df: DataFrame, key: str, text: str, source: str, ranks_path: str, pattern: str) -> DataFrame:
     """(key, source, tokens): tokens of each text that isn't null, by a byte-level BPE given as a file of ranks."""
 
@@ -52,7 +63,7 @@ def token_counts(df: DataFrame, key: str, text: str, source: str, ranks_path: st
         for b in batches:
             texts = b.column(2).to_pylist()
             for lo, hi in passes(texts):
-                n = [len(enc.encode_ordinary(t)) for t in texts[lo:hi]]
+                n = [token_count(enc, t) for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64())], names=["key", "source", "tokens"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
@@ -81,12 +92,14 @@ def token_goals(sizes: dict[str, float], targets: dict[str, tuple[float, float]]
 def balanced_rates(counts: DataFrame, goals: DataFrame, tolerance: float = 1e-6, rounds: int = 60) -> tuple[DataFrame, int]:
     """(source, l, mean, cap, n) solving sum(min(cap, exp(l * tokens / mean)) * tokens) = goal for every source, and the iterations used.
 
-    goals: (source, goal, cap, mean, n). Newton steps on the dual; the sum grows with l, and the bracket around the solution
-    grows until it holds it. Only one row a source is kept; counts are aggregated before the shuffle."""
+    goals: (source, goal, cap, mean, n). Newton steps on the logarithm of the sum, which is nearly a line in l where the longest
+    texts make up the sum. It grows with l, so the solution is bracketed from the first sum on; a step that leaves the bracket, or
+    isn't half as long as the one before the last, is replaced by the bracket's middle: no source creeps towards its goal. Only one
+    row a source is kept; counts are aggregated before the shuffle."""
     # A goal at the cap is met by the cap alone: the solution lies at infinity.
     full = F.col("goal") >= F.col("cap") * F.col("mean") * F.col("n") * (1 - 1e-9)
     none = F.lit(None).cast("double")
-    state = goals.withColumns({"l": F.when(full, FULL).otherwise(0.0), "low": none, "high": none, "done": full})
+    state = goals.withColumns({"l": F.when(full, FULL).otherwise(0.0), "low": none, "high": none, "moved": F.lit(UNCAPPED), "before": F.lit(UNCAPPED), "done": full})
     x = F.col("tokens") / F.col("mean")
     for k in range(rounds):
         state = cut(state)
@@ -97,18 +110,27 @@ def balanced_rates(counts: DataFrame, goals: DataFrame, tolerance: float = 1e-6,
         sums = (
             counts.join(bounded(state.filter("not done").select("source", "l", "mean", "cap")), "source")
             .groupBy("source")
-            .agg(F.sum(rate * F.col("tokens")).alias("got"), F.sum(F.when(tilt < F.col("cap"), rate * x * F.col("tokens")).otherwise(0.0)).alias("slope"))
+            .agg(
+                F.sum(rate * F.col("tokens")).alias("got"),
+                F.sum(F.when(tilt <= F.col("cap"), rate * x * F.col("tokens")).otherwise(0.0)).alias("slope"),
+                F.min(x).alias("least"),
+                F.max(x).alias("most"),
+            )
         )
         at = state.join(sums, "source", "left")
         at = at.withColumns({"low": F.when(F.col("got") < F.col("goal"), F.col("l")).otherwise(F.col("low")), "high": F.when(F.col("got") > F.col("goal"), F.col("l")).otherwise(F.col("high"))})
-        # A step goes at most as far again as l has come; one that leaves the bracket known so far is replaced by its middle.
-        reach = 4 + F.abs("l")
-        newton = (F.col("goal") - F.col("got")) / F.greatest("slope", F.lit(1e-300))
-        step = F.col("l") + F.least(F.greatest(newton, -reach), reach)
-        inside = (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
-        new = F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        done = F.col("done") | (F.abs(F.col("got") - F.col("goal")) <= tolerance * F.col("goal")) | F.coalesce(F.col("high") - F.col("low") < 1e-12, F.lit(False))
-        state = at.select("source", "goal", "cap", "mean", "n", F.when(done, F.col("l")).otherwise(new).alias("l"), "low", "high", done.alias("done"))
+        # No source lies beyond these, with a margin for rounding: above, its longest text alone would exceed the goal, or all texts
+        # would be at the cap; below, even the rate of the shortest text wouldn't do for all.
+        longest = F.col("most") * F.col("mean")
+        above = F.when(F.col("cap") * longest > F.col("goal"), F.log(F.col("goal") / longest) / F.col("most")).otherwise(F.log("cap") / F.col("least"))
+        below = F.log(F.col("goal") / (F.col("mean") * F.col("n"))) / F.col("least")
+        at = at.withColumns({"low": F.coalesce("low", below * (1 + 1e-6)), "high": F.coalesce("high", above * (1 + 1e-6))})
+        step = F.log(F.col("goal") / F.col("got")) * F.col("got") / F.greatest("slope", F.lit(1e-300))
+        newton = F.col("l") + step
+        inside = (newton > F.col("low")) & (newton < F.col("high")) & (2 * F.abs(step) <= F.col("before"))
+        new = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        done = F.col("done") | (F.abs(F.col("got") - F.col("goal")) <= tolerance * F.col("goal")) | F.coalesce(F.col("high") - F.col("low") <= 1e-15 * F.abs("l"), F.lit(False))
+        state = at.select("source", "goal", "cap", "mean", "n", F.when(done, F.col("l")).otherwise(new).alias("l"), "low", "high", F.abs(new - F.col("l")).alias("moved"), F.col("moved").alias("before"), done.alias("done"))
     return cut(state), rounds
 
 
@@ -131,7 +153,7 @@ def rounded(counts: DataFrame, rates: DataFrame) -> DataFrame:
     off = lambda k: F.abs(F.col(f"t{k}") - F.col("goal"))
     best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(PHASES)]))["k"]
     chosen = cut(totals.select("source", best.alias("k")))
-    return placed.join(bounded(chosen), "source").select("key", "source", "tokens", copies(F.col("k")).cast("int").alias("copies"))
+    return placed.join(bounded(chosen), "source").select("key", "source", "tokens", copies(F.col("k")).alias("copies"))
 
 
 def mixed(df: DataFrame, key: str, text: str, source: str, targets: DataFrame, ranks_path: str, pattern: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -374,6 +374,26 @@ def test_capped_sources_reach_their_cap_without_iterating(spark):
     assert rounds <= 2 and set(got.values()) == {1, 2} and got[6000] == 1 and sum(got[k] * n for k, s, n in rows if s == "s") == 202_000
 
 
+def test_an_uncapped_source_of_uneven_texts_reaches_a_far_goal(spark):
+    # A text far longer than the others, and goals far above the sizes: 40 times, and more copies than an int holds.
+    rows = [(k, "s", 10) for k in range(1000)] + [(5000, "s", 2000), (6000, "t", 1)]
+    counts = spark.createDataFrame(rows, "key long, source string, tokens long")
+    inf = float("inf")
+    goals = spark.createDataFrame([("s", 480_000.0, inf, 12_000 / 1001, 1001), ("t", 3e9, inf, 1.0, 1)], "source string, goal double, cap double, mean double, n long")
+    rates, rounds = mixing.balanced_rates(counts, goals)
+    got = {r.key: r.copies for r in mixing.rounded(counts, rates).collect()}
+    total = sum(got[k] * n for k, s, n in rows if s == "s")
+    assert rounds < 20 and abs(total - 480_000) <= 2000 and abs(got[6000] - 3e9) < 1e4
+
+
+def test_a_text_with_a_long_blank_run_is_counted(spark):
+    rows = [(1, "a b" + " " * 50 + "c", "s"), (2, "a b" + " " * 1_000_000 + "c", "s")]
+    counts = mixing.token_counts(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s", *mixing.public_ranks())
+    short, long = (r.tokens for r in counts.orderBy("key").collect())
+    blanks = len(mixing.encoder(*mixing.public_ranks()).encode_ordinary(" " * 1000))
+    assert long - short == (1_000_000 - 50) * blanks / 1000
+
+
 def test_leaks_in_text_that_many_items_share(spark):
     rng = random.Random(37)
     stock = text(40, rng)
