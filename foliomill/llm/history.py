@@ -166,6 +166,8 @@ class History:
         # One pass over the batch's texts.
         mine = cut(sketches(batch, key, text, self.pieces, self.width, self.rounds * SLOTS, pack=True))
         records = self._write(mine.select("key", "bits", "packed"), "key", stored_rows(mine))
+        if records["bits"]:
+            self._collect()  # its shuffle holds all texts once more
         heads = mine.groupBy("digest").agg(F.min_by(F.struct("key", "slots"), "key").alias("h")).select("digest", "h.*")
         fresh = entries = cut(sort_keys(heads, self.rounds))
         if compare:
@@ -183,60 +185,74 @@ class History:
         self._commit(grown)
         if len(grown["keys"]) > MOST_RUNS:
             self.compact()
-        # What a batch broadcast is dropped once the driver's garbage is collected; a process that takes batches for days sees to it.
-        self.spark.sparkContext._jvm.System.gc()
+        self._collect()
         return linked
 
+    def _collect(self) -> None:
+        """What was broadcast or shuffled is dropped once the driver's garbage is collected; a process that takes batches for days sees to it."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _linked(self, mine: DataFrame, runs: dict, keys: dict, records: dict) -> DataFrame:
-        """(key) of the batch's linked records: all but the first of each new text that no window links."""
+        """(key) of the batch's linked records: all but the first of each new text that no window links.
+
+        The history's keys are read once, for the entries of all windows, and its sketches once, for those of these entries."""
         new = cut(self._own(keys, KEYS).filter("low is null").select("k", F.col("key").alias("b")))
         old = self._read(runs["keys"], KEYS, self._touched(new, "k", runs["keys"])).filter("low is null").select("k", F.col("key").alias("a"))
-        # First the edges of each window, found before anything is paired: a hot key costs two rows.
+        near = cut(old.join(bounded(new.select("k"), new), "k", "left_semi"))
+        wanted = cut(near.select(F.col("a").alias("key")).distinct())
+        known = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key").select("key", "bits").join(bounded(wanted), "key", "left_semi")
+        known = cut(known.unionByName(self._own(records, RECORDS).select("key", "bits")))
         by_key = bounded(new)
-        ends = old.join(bounded(new.select("k"), new), "k", "left_semi").groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("k", F.explode(F.array("lo", "hi")).alias("a"))
+        counted = near.select("k", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(new.select("k", F.lit(0).alias("old"), F.lit(1).alias("new")))
+        sizes = counted.groupBy("k").agg(F.sum("old").alias("n"), F.sum("new").alias("m"))
+        if (sizes.agg(F.sum(F.expr("m * n + m * (m - 1) div 2"))).first()[0] or 0) <= SMALL_WINDOW * stored_rows(new) / (self.rounds * len(MASKS)):
+            # Windows that are small for the batch as a whole are simply paired, in one round.
+            own = new.select("k", F.col("b").alias("a")).join(by_key, "k").filter("a < b")
+            pairs = cut(near.join(by_key, "k").select("a", "b").unionByName(own.select("a", "b")).distinct())
+            linked = cut(self._confirmed(pairs, known, runs, records).select(F.col("b").alias("key")).distinct())
+            alone = cut(new.select(F.col("b").alias("key")).distinct().join(bounded(linked), "key", "left_anti"))
+            return mine.join(bounded(alone), "key", "left_anti")
+        # Else first the edges of each window, found before anything is paired: a hot key costs two pairs a record.
+        ends = near.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).select("k", F.explode(F.array("lo", "hi")).alias("a"))
         own_ends = new.groupBy("k").agg(F.min("b").alias("a"))
         edges = cut(ends.join(by_key, "k").select("a", "b").unionByName(own_ends.join(by_key, "k").filter("a < b").select("a", "b")).distinct())
-        first = cut(self._confirmed(edges, runs, records).select("b").distinct())
+        first = cut(self._confirmed(edges, known, runs, records).select("b").distinct())
         # Then, of the records not linked yet, the whole windows.
         left = cut(new.join(bounded(first), "b", "left_anti"))
         if not stored_rows(left):
             return mine
-        rest = cut(self._whole(left, old, new, runs, records).join(edges.hint("merge"), ["a", "b"], "left_anti"))
-        linked = first if not stored_rows(rest) else first.unionByName(self._confirmed(rest, runs, records).select("b")).distinct()
+        rest = cut(self._whole(left, near, new, known).join(edges.hint("merge"), ["a", "b"], "left_anti"))
+        linked = first if not stored_rows(rest) else first.unionByName(self._confirmed(rest, known, runs, records).select("b")).distinct()
         alone = cut(left.select(F.col("b").alias("key")).distinct().join(linked.withColumnRenamed("b", "key").hint("merge"), "key", "left_anti"))
         return mine.join(bounded(alone), "key", "left_anti")
 
-    def _whole(self, left: DataFrame, old: DataFrame, new: DataFrame, runs: dict, records: dict) -> DataFrame:
-        """(a, b): every entry a in the windows of the records b of left (k, b).
+    def _whole(self, left: DataFrame, near: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        """(a, b): every entry a in the windows of the records b of left (k, b); near has the history's entries of the batch's windows.
 
         A window of more than SMALL_WINDOW entries is dealt to parts; each part meets the new records in one group, which
         only gives the pairs that the sketches leave possible. So a hot window is never one task, nor written out as pairs."""
         asked = bounded(left.select("k"), left)
-        near = old.select("k", "a", F.lit(True).alias("old")).unionByName(new.select("k", F.col("b").alias("a"), F.lit(False).alias("old"))).join(asked, "k", "left_semi")
-        near = cut(near)
+        near = near.select("k", "a", F.lit(True).alias("old")).unionByName(new.select("k", F.col("b").alias("a"), F.lit(False).alias("old"))).join(asked, "k", "left_semi")
         hot = cut(near.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL_WINDOW).select("k", F.ceil(F.col("n") / WINDOW_PART).cast("int").alias("parts")))
         few = near.join(bounded(hot.select("k"), hot), "k", "left_anti").join(bounded(left), "k").filter("old or a < b").select("a", "b")
         if not stored_rows(hot):
             return few.distinct()
-        mine = self._own(records, RECORDS).select("key", "bits")
         members = near.join(bounded(hot), "k")
-        wanted = cut(members.select(F.col("a").alias("key")).distinct())
-        bits = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key").select("key", "bits").unionByName(mine)
         sides = members.select("k", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("key"), F.when(F.col("old"), 0).otherwise(1).alias("side"))
         asking = left.join(bounded(hot), "k").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("key"), F.lit(2).alias("side"))
-        met = sides.unionByName(asking).join(bits.hint("merge"), "key")
+        met = sides.unionByName(asking).join(known.hint("merge"), "key")
         return few.unionByName(window_pairs(met, self.threshold)).distinct()
 
-    def _confirmed(self, pairs: DataFrame, runs: dict, records: dict) -> DataFrame:
-        """(a, b, similarity) of the pairs at or above the threshold: by sketch, then exactly. Opens the buckets with candidates."""
-        wanted = cut(pairs.select(F.col("a").alias("key")).distinct())
-        old = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key")
-        mine = self._own(records, RECORDS)
-        left = old.unionByName(mine).join(bounded(wanted), "key", "left_semi")
+    def _confirmed(self, pairs: DataFrame, known: DataFrame, runs: dict, records: dict) -> DataFrame:
+        """(a, b, similarity) of the pairs at or above the threshold: by sketch, then exactly. Opens the buckets with likely texts."""
         # Sketches first: texts only travel for the pairs that are left.
-        both = pairs.select("a", "b").join(left.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a")
-        both = both.join(mine.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
+        both = pairs.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("bits").alias("bits_a")), "a")
+        both = both.join(known.select(F.col("key").alias("b"), F.col("bits").alias("bits_b")), "b")
         likely = cut(plausible(both, self.threshold))
+        wanted = likely.select(F.col("a").alias("key"))
+        mine = self._own(records, RECORDS).select("key", "packed")
+        old = self._read(runs["records"], RECORDS, self._touched(wanted, "key", runs["records"]), "key").select("key", "packed")
+        left = old.unionByName(mine).join(bounded(wanted, likely), "key", "left_semi")
         texts = likely.join(left.select(F.col("key").alias("a"), F.col("packed").alias("packed_a")), "a")
         texts = texts.join(mine.select(F.col("key").alias("b"), F.col("packed").alias("packed_b")), "b")
         return verified(texts, self.pieces, self.width, self.threshold)

@@ -165,6 +165,21 @@ def test_a_batch_opens_a_bounded_part_of_the_history(spark, tmp_path, monkeypatc
     assert large > 3 * small and more < 1.6 * few and more < large / 2
 
 
+def test_a_batch_reads_the_keys_of_the_history_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "RANGE_ROWS", 1 << 10)
+    rng = random.Random(31)
+    texts = [text(30, rng) for _ in range(600)]
+    h = history.History(spark, f"file://{tmp_path}/h", 0.6, "chars", 5)
+    h.take(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", "old", compare=False)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.inputRecords() for s in (every.apply(i) for every in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(every.size()))}
+    before = stages()
+    got = h.take(spark.createDataFrame([(900 + k, edited(texts[k], 1, rng) if k % 2 else text(30, rng)) for k in range(40)], "id long, t string"), "id", "t", "new")
+    assert {r.key for r in got.collect()} == set(range(901, 940, 2))
+    (old, *_), rows = h.runs()["keys"], sum(n for k, n in stages().items() if k not in before)
+    assert rows < 2.2 * old["rows"]
+
+
 def test_hot_windows_are_compared_in_full(spark, monkeypatch):
     monkeypatch.setattr(history, "SMALL_WINDOW", 4)
     monkeypatch.setattr(history, "WINDOW_PART", 5)
